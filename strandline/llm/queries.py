@@ -1,11 +1,14 @@
 """The queries of the training-data operators and the SQL that some of them must equal."""
 
-from strandline.llm import line_dedup, mixing
+from strandline.llm import chat, line_dedup, mixing, secrets
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_secrets": secrets.op4_secrets,
     "op5_mixing": mixing.op5_mixing,
+    "op10_chat": chat.op10_chat,
 }
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op10_chat": chat.ORACLE_SQL,
 }

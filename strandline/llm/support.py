@@ -42,3 +42,18 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_running_totals(df: DataFrame, steps: str, out: str, block: int = 64) -> DataFrame:
+    """Adds ``out``: for each element of the array ``steps`` the sum of all up to it, itself included.
+
+    Sums of blocks first, then within a block, so a long array costs little more than its length.
+    """
+    add = lambda x, y: x + y
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), add)
+    df = df.withColumn("_sums", F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / block)), lambda b: total(F.slice(steps, (b * block + 1).cast("int"), block))))
+    df = df.withColumn("_before", F.transform(F.sequence(F.lit(1), F.size("_sums")), lambda b: total(F.slice("_sums", 1, b - 1))))
+    at = lambda i: F.get("_before", F.floor(i / block).cast("int")) + total(F.slice(steps, (i - i % block + 1).cast("int"), i % block + 1))
+    # the second mention keeps the optimiser from moving the sums into the lambda
+    df = df.withColumn(out, F.when(F.size("_before") > 0, F.transform(steps, lambda _, i: at(i))).otherwise(F.array().cast("array<bigint>")))
+    return df.drop("_sums", "_before")
