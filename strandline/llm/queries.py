@@ -1,11 +1,13 @@
 """The queries of the training-data operators and the SQL that some of them must equal."""
 
-from strandline.llm import chat, line_dedup, mixing, secrets
+from strandline.llm import chat, line_dedup, matroska, mixing, packing, secrets
 
 QUERIES = {
+    "op1_matroska": matroska.op1_matroska,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_secrets": secrets.op4_secrets,
     "op5_mixing": mixing.op5_mixing,
+    "op6_packing": packing.op6_packing,
     "op10_chat": chat.op10_chat,
 }
 ORACLE_SQL = {

@@ -1,0 +1,27 @@
+"""Documents that any operator has to stand."""
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+TRICKY = [
+    (1, None, "en", "a", None),
+    (2, "", "en", None, 0),
+    (3, " \t\r\n \x0b\x0c", None, "a", 7),
+    (None, "no id here", "en", "b", 10),
+    (None, None, None, None, None),
+    (5, "one two three\nOne  two\n wide İß \U0001f600\n", "de", "b", 40),
+    (5, "one two three\nOne  two\n wide İß \U0001f600\n", "de", "b", 40),
+    (6, "same words " * 3000, "en", "a", 33000),
+    (7, "line\n" * 5000, "en", "a", 25000),
+    (8, "x" * 100_000, "fr", "c", 100_000),
+    (9, "x", "fr", "c", 1),
+]
+
+
+def tricky(spark, **extra):
+    return spark.createDataFrame(TRICKY, SCHEMA)
+
+
+def clashing(docs, names):
+    """The same table with further columns of the given names."""
+    from pyspark.sql import functions as F
+
+    return docs.withColumns({n: F.lit("clash") for n in names if n not in docs.columns})
