@@ -1,6 +1,6 @@
 """The queries of the training-data operators and the SQL that some of them must equal."""
 
-from strandline.llm import chat, line_dedup, matroska, mixing, packing, secrets, simhash
+from strandline.llm import chat, line_dedup, matroska, mixing, packing, quality, secrets, simhash
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_mixing": mixing.op5_mixing,
     "op6_packing": packing.op6_packing,
+    "op7_quality": quality.op7_quality,
     "op8_simhash": simhash.op8_simhash,
     "op10_chat": chat.op10_chat,
 }
