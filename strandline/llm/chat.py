@@ -49,15 +49,18 @@ def reply_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     up = cut(nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     parents = up.filter("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
     leaves = up.join(parents, ["tree", "node"], "left_anti").select("tree", "node")
-    jumps, open_ = [], up.filter("up IS NOT NULL").count()
+    # done: replies whose root is known; active: the others, each with its ancestor 2^k replies up
+    done, active = up.filter("up IS NULL"), up.filter("up IS NOT NULL")
+    jumps, open_ = [], active.count()
     while open_:
-        jumps.append(up.filter("up IS NOT NULL").select("tree", "node", "up"))
-        above = up.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("more"))
-        up = cut(up.join(above, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")))
-        before, open_ = open_, up.filter("up IS NOT NULL").count()
-        if open_ == before:
+        jumps.append(active.select("tree", "node", "up"))
+        above = done.unionByName(active).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("more"))
+        both = cut(active.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("more")).alias("score")))
+        done, active = done.unionByName(both.filter("up IS NULL")), both.filter("up IS NOT NULL")
+        before, open_ = open_, active.count()
+        if open_ == before:  # what is left hangs on cycles
             break
-    ends = leaves.join(up.filter("up IS NULL"), ["tree", "node"])
+    ends = leaves.join(done, ["tree", "node"])
     ends = ends.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "node")))
     if top is not None:
         ends = ends.filter(F.col("rank") <= top)
