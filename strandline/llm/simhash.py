@@ -168,3 +168,151 @@ def hexed(fp: Column) -> Column:
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# --- the same for larger distances: near copies by their shingle sets -------------------------------------------------
+
+KEY_BITS, PROOF_BITS = 256, 512
+
+
+def _mixed(h: np.ndarray, bits: int) -> np.ndarray:
+    """Each 64-bit hash as ``bits`` bits, in rows of bytes."""
+    steps = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = h[:, None] + steps[None, :]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).view(np.uint8).reshape(len(h), -1)
+
+
+def signature(parts: list[bytes], words: int, bits: int) -> bytes:
+    """SimHash of the set of shingles, each counted once, so that the angle follows the overlap of the sets."""
+    import xxhash
+
+    if not parts:
+        return bytes(bits // 8)
+    joined, digest = b" ".join(parts), xxhash.xxh3_64_intdigest
+    if len(parts) <= words:
+        hashes = np.array([digest(joined)], dtype=np.uint64)
+    else:
+        view, lengths = memoryview(joined), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        ends = np.cumsum(lengths + 1) - 1
+        starts = (ends - lengths)[: len(parts) - words + 1].tolist()
+        hashes = np.unique(np.array([digest(view[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist())], dtype=np.uint64))
+    counts = np.zeros(bits, dtype=np.int64)
+    for i in range(0, len(hashes), 255):  # no sum of so many bits leaves a byte
+        counts += np.add.reduce(np.unpackbits(_mixed(hashes[i : i + 255], bits), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
+def bits_apart(similarity: float, bits: int, slack: float = 2.0) -> int:
+    """How many bits may differ: what sets of that Jaccard similarity differ in on average, and ``slack`` standard deviations."""
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * angle + slack * np.sqrt(bits * angle * (1 - angle)))
+
+
+def byte_combinations(n_bytes: int, width: int, count: int, seed: int = 7) -> list[list[int]]:
+    """``count`` fixed sets of ``width`` byte positions."""
+    order = np.random.RandomState(seed)
+    return [sorted(order.choice(n_bytes, width, replace=False).tolist()) for _ in range(count)]
+
+
+def forest(nodes: np.ndarray, proofs: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Edges that connect what pairs within ``distance`` bits connect. What is reached isn't compared again."""
+    bits, left, edges = proofs.view(np.uint64), np.arange(len(nodes)), []
+    while len(left):
+        reach, left = left[:1], left[1:]
+        while len(reach) and len(left):
+            here, reach = reach[0], reach[1:]
+            near = np.bitwise_count(bits[left] ^ bits[here]).sum(axis=1, dtype=np.int64) <= distance
+            edges += [(int(nodes[here]), int(x)) for x in nodes[left[near]]]
+            reach, left = np.concatenate([reach, left[near]]), left[~near]
+    return edges
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, keys: int = 60, list_limit: int = 20_000) -> DataFrame:
+    """One row per input row: ``rid`` (its identity), doc_id, and ``first``: the identity that stays of its group.
+
+    Two fingerprints a text: 256 bits of its pairs of words, whose bytes at fixed sets of positions index it, and 512 bits of
+    its shingles of ``words`` words, which prove a link: it holds where they differ in no more bits than sets of the
+    given Jaccard similarity do, with two standard deviations for chance. A pair at a similarity of exactly 0.8 keeps a
+    byte of the first whole with a chance near 0.45, so it meets in one of 60 lists of three bytes with 0.99; copies
+    closer than that nearly surely. Lists get a byte more for each 256-fold of the corpus.
+
+    Texts with equal words (A-Z in any case) are one node. A list gives a spanning forest; one of more than
+    ``list_limit`` nodes is dealt to parts that all hold its smallest node, so no list has to fit a task. The group's
+    row with the smallest doc_id stays (null last, then by content). Texts without words are equal. Rows that repeat
+    have the same identity. An empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for got in batches:
+            nodes, index, proof, h1, h2 = [], [], [], [], []
+            for text in got.column(1).cast(pa.binary()):
+                text = text.as_py() or b""
+                parts = text.translate(_LOWER).split()
+                joined = b" ".join(parts)
+                nodes.append(xxhash.xxh3_64_intdigest(joined))
+                index.append(signature(parts, 2, KEY_BITS))
+                proof.append(signature(parts, words, PROOF_BITS))
+                both = xxhash.xxh3_128_digest(text)
+                h1.append(int.from_bytes(both[:8], "big", signed=True))
+                h2.append(int.from_bytes(both[8:], "big", signed=True))
+            if nodes:
+                columns = [got.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(h1), pa.array(h2), pa.array(index, type=pa.binary()), pa.array(proof, type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "h1", "h2", "index", "proof"])
+
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, node bigint, h1 bigint, h2 bigint, index binary, proof binary")
+    each = cut(each.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2").alias("rid"), "doc_id", "node", "index", "proof"))
+    nodes = each.groupBy("node").agg(F.min("rid").alias("least"), F.first("index").alias("index"), F.first("proof").alias("proof"))
+    nodes = cut(nodes)
+    n, width = nodes.count(), 3
+    while n > 1 << (8 * width):
+        width += 1
+    combos = byte_combinations(KEY_BITS // 8, width, keys)
+    chosen = F.array(*[F.concat(*[F.substring("index", p + 1, 1) for p in combo]) for combo in combos])
+    postings = nodes.select("node", F.posexplode(chosen).alias("combo", "bytes")).select("node", F.xxhash64("combo", "bytes").alias("key"))
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("smallest")).filter("n > 1")
+    parts = F.ceil(F.col("n") / list_limit)
+    dealt = postings.join(lists, "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), parts))
+    # the smallest node of a list that is split goes to every part
+    everywhere = lists.filter(F.col("n") > list_limit).select("key", F.col("smallest").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    dealt = dealt.select("key", "node", "part").unionByName(everywhere).distinct()
+    limit = bits_apart(similarity, PROOF_BITS)
+
+    def link(key: tuple, rows: pa.Table) -> pa.Table:
+        ids = rows["node"].to_numpy()
+        order = np.argsort(ids)
+        proofs = np.frombuffer(b"".join(rows["proof"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
+        found = forest(ids[order], np.ascontiguousarray(proofs), limit)
+        return pa.table([pa.array([a for a, _ in found], type=pa.int64()), pa.array([b for _, b in found], type=pa.int64())], names=["a", "b"])
+
+    edges = dealt.join(nodes.select("node", "proof"), "node").groupBy("key", "part").applyInArrow(link, "a bigint, b bigint").distinct()
+    roots = components(edges)
+    rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return each.select("rid", "doc_id", "node").join(rooted.join(named, "root").select("node", "first"), "node").select("rid", "doc_id", "first")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stay when of each group of near copies the first is kept."""
+    found = cut(similar_documents(docs, id_col, text_col, **options).select("rid", "first"))
+    first = found.filter(F.col("rid") == F.col("first")).groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for got in batches:
+            both = [xxhash.xxh3_128_digest(t.as_py() or b"") for t in got.column(at).cast(pa.binary())]
+            halves = [pa.array([int.from_bytes(x[s : s + 8], "big", signed=True) for x in both], type=pa.int64()) for s in (0, 8)]
+            yield pa.RecordBatch.from_arrays([*got.columns, *halves], names=[*got.schema.names, h1, h2])
+
+    at, (h1, h2) = docs.columns.index(text_col), [f"{'_' * 9}h{i}{max(docs.columns, key=len)}" for i in (1, 2)]
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{h1}` bigint, `{h2}` bigint"
+    hashed = docs.mapInArrow(run, schema)
+    ident = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("doc_id"), F.col(h1).alias("h1"), F.col(h2).alias("h2"))
+    rows = hashed.select(F.struct(*[hashed[c] for c in docs.columns]).alias("row"), ident.alias("rid"))
+    if not first.filter("n > 1").isEmpty():
+        rows = rows.groupBy("rid").agg(F.first("row").alias("row"))
+    return rows.join(first.select("rid"), "rid", "left_semi").select("row.*")

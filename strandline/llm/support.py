@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +58,16 @@ def with_running_totals(df: DataFrame, steps: str, out: str, block: int = 64) ->
     # the second mention keeps the optimiser from moving the sums into the lambda
     df = df.withColumn(out, F.when(F.size("_before") > 0, F.transform(steps, lambda _, i: at(i))).otherwise(F.array().cast("array<bigint>")))
     return df.drop("_sums", "_before")
+
+
+def stored(df: DataFrame, name: str, before: str | None = None) -> tuple[DataFrame, str]:
+    """The same rows from a Parquet table in the shared folder, and its path; the table ``before`` goes once they are written."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")
+    path = f"{root.rstrip('/')}/strandline-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    if before:
+        jvm = spark.sparkContext._jvm
+        old = jvm.org.apache.hadoop.fs.Path(before)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return spark.read.parquet(path), path
