@@ -1,15 +1,17 @@
 """The queries of the training-data operators and the SQL that some of them must equal."""
 
-from strandline.llm import chat, line_dedup, matroska, mixing, packing, quality, secrets, simhash
+from strandline.llm import chat, line_dedup, matroska, mixing, packing, quality, secrets, simhash, substrings, warc
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
+    "op2_substrings": substrings.op2_substrings,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_secrets": secrets.op4_secrets,
     "op5_mixing": mixing.op5_mixing,
     "op6_packing": packing.op6_packing,
     "op7_quality": quality.op7_quality,
     "op8_simhash": simhash.op8_simhash,
+    "op9_warc": warc.op9_warc,
     "op10_chat": chat.op10_chat,
 }
 ORACLE_SQL = {
