@@ -1 +1 @@
-
+"""Relational operators on annotations and regions."""

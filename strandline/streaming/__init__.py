@@ -1 +1 @@
-
+"""Quantification of regions that arrive in a stream."""
