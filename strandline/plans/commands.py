@@ -215,3 +215,9 @@ def values_of(found: Annotation, number: int | None = None, value: str | None =
     """(off, id, attr) by a feature's number or by its attribute's value."""
     rows = found.links.select("off", "id", "attr")
     return rows.filter(F.col("off") == number) if value is None else rows.filter(F.col("attr") == value)
+
+
+def roots_at_points(found: Annotation, points: DataFrame) -> DataFrame:
+    """Root spans that hold each point (rid, seqid, point), both ends included."""
+    spans = found.spans.select("seqid", "fid", "s0", "e0", (F.col("e0") + 1).alias("after"))
+    return overlapping(spans, points.withColumn("beyond", F.col("point") + 1), "seqid", "s0", "after", "point", "beyond").drop("after", "beyond")
