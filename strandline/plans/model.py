@@ -96,6 +96,7 @@ class Annotation:
     attribute: str = ATTRIBUTE
     end: DataFrame | None = None
     stored_roots: DataFrame | None = None
+    unplaced: DataFrame | None = None
 
     @cached_property
     def spans(self) -> DataFrame:
@@ -126,12 +127,17 @@ class Annotation:
         end = self.end if self.end is not None else self.lines.agg(F.max(F.col("off") + F.octet_length("line") + F.length("eol")).alias("end"))
         return block_extents(self.spans, end)
 
-    def save(self, path: str) -> None:
-        """Parquet tables; lines are laid out by block, so that a query of few blocks skips most files."""
+    def save(self, path: str) -> Annotation:
+        """Writes Parquet tables and returns the annotation that reads them. Each table is made from those written before it."""
+        spark = self.lines.sparkSession
         self.links.write.mode("overwrite").parquet(f"{path}/links")
-        self.roots.write.mode("overwrite").parquet(f"{path}/roots")
-        self.lines.repartitionByRange("off").sortWithinPartitions("off").write.mode("overwrite").parquet(f"{path}/lines")
-        self.lines.sparkSession.createDataFrame([(self.attribute,)], "attribute string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        links = spark.read.parquet(f"{path}/links")
+        resolve_roots(links.select(F.col("off").alias("node"), F.col("par").alias("parent"))).write.mode("overwrite").parquet(f"{path}/roots")
+        unplaced = self.lines if self.unplaced is None else self.unplaced
+        lines = placed_lines(unplaced, root_spans(links)) if self.unplaced is not None else unplaced
+        lines.write.mode("overwrite").parquet(f"{path}/lines")
+        spark.createDataFrame([(self.attribute,)], "attribute string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        return Annotation.load(spark, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Annotation:
@@ -155,13 +161,11 @@ def from_lines(lines: DataFrame, attribute: str = ATTRIBUTE, skip_types: str = S
     if check and (fault := features.filter("fault IS NOT NULL").agg(F.min_by("fault", "off")).first()[0]):
         raise BadAnnotation(fault)
     links = linked(features.drop("fault"))
-    return Annotation(placed_lines(with_columns_of_lines(lines), root_spans(links)), links, attribute)
+    lines = with_columns_of_lines(lines)
+    return Annotation(placed_lines(lines, root_spans(links)), links, attribute, unplaced=lines)
 
 
 def build_index(spark: SparkSession, path: str, attribute: str = ATTRIBUTE, skip_types: str = SKIPPED, save: str | None = None) -> Annotation:
     """Reads a GFF3 file. With ``save`` the tables are written there and read again, which any number of queries can share."""
     found = from_lines(read_lines(spark, path), attribute, skip_types)
-    if save is None:
-        return found
-    found.save(save)
-    return Annotation.load(spark, save)
+    return found if save is None else found.save(save)

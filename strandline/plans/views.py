@@ -6,6 +6,9 @@ numbers and skip some, which gives repeated ids and unknown parents.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -33,8 +36,18 @@ def annotation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genes.unionByName(children).select(F.floor(F.col("k") / 4096).alias("part"), (F.col("k") * 1000 + place).alias("off"), "line", F.lit("\n").alias("eol"))
 
 
+_INDEXED: dict[tuple[str, str], str] = {}
+
+
 def annotation(spark: SparkSession, sf_dir: str) -> Annotation:
-    return from_lines(annotation_lines(spark, sf_dir), check=False)
+    """The index of a folder's annotation: built by the first query of an application, read by the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXED:
+        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")
+        path = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+        from_lines(annotation_lines(spark, sf_dir), check=False).save(path)
+        _INDEXED[key] = path
+    return Annotation.load(spark, _INDEXED[key])
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,15 +30,12 @@ def depth_so_far(tables: DataFrame) -> DataFrame:
 
 
 def replayed_depth(found: Annotation, regions: DataFrame, files: int = 3) -> DataFrame:
-    """The depth of stored regions by way of the stream: they are written as ``files`` files, a batch each."""
+    """The depth of stored regions by way of the stream: they are written as ``files`` files, a batch each. ``found`` should be a saved index."""
     spark = regions.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")
     root = f"{root.rstrip('/')}/depth-{uuid.uuid4().hex}"
     regions.repartition(files).write.parquet(f"{root}/in")
-    found.lines.write.parquet(f"{root}/lines")
-    found.links.write.parquet(f"{root}/links")
-    kept = Annotation(spark.read.parquet(f"{root}/lines"), spark.read.parquet(f"{root}/links"), found.attribute)
     stream = spark.readStream.schema(regions.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    query = depth_sink(kept, stream, f"{root}/out", f"{root}/state", available_now=True)
+    query = depth_sink(found, stream, f"{root}/out", f"{root}/state", available_now=True)
     query.awaitTermination()
     return depth_so_far(spark.read.parquet(f"{root}/out"))
