@@ -18,9 +18,13 @@ def trimmed(text: Column) -> Column:
 
 def u32(text: Column, signed: bool = False) -> Column:
     """An unsigned 32-bit number from digits (with ``signed`` also after a plus), as a long; null for anything else."""
-    digits = F.when(text.rlike(r"^\+?[0-9]+\z" if signed else r"^[0-9]+\z"), F.regexp_replace(text, r"^\+?0*(?=[0-9])", ""))
-    value = F.when(F.length(digits) <= 10, digits.try_cast("long"))
-    return F.when(value <= MAX_U32, value)
+    number = text.try_cast("long")
+    return F.when(text.rlike(r"^\+?0*[0-9]{1,10}\z" if signed else r"^0*[0-9]{1,10}\z") & (number <= MAX_U32), number)
+
+
+def once(value: Column) -> Column:
+    """The same value from a generator, so that what uses it doesn't compute it again each time."""
+    return F.explode(F.array(value))
 
 
 def first_value(text: Column, key: str, until: str) -> Column:

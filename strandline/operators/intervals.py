@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -18,9 +20,11 @@ def level_of(low: Column, high: Column) -> Column:
     return out
 
 
-def levels_in(df: DataFrame) -> list[int]:
-    """The levels that occur among ``_low`` and ``_high``: nine at most."""
-    return sorted(r[0] for r in df.select(level_of(F.col("_low"), F.col("_high"))).distinct().collect())
+def levels_in(*sides: DataFrame) -> list[list[int]]:
+    """The levels that occur among each side's ``_low`` and ``_high``: nine at most, found in one job."""
+    each = [df.select(F.lit(i).alias("side"), level_of(F.col("_low"), F.col("_high")).alias("level")).distinct() for i, df in enumerate(sides)]
+    rows = reduce(DataFrame.unionByName, each).collect()
+    return [sorted(r.level for r in rows if r.side == i) for i in range(len(sides))]
 
 
 def _ends(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -38,7 +42,7 @@ def _binned(df: DataFrame, levels: Column) -> DataFrame:
 def _sides(left: DataFrame, right: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """Two pairs of binned tables. Each pair of spans meets at the wider one's level: first those where the left is as wide or wider, then the others."""
     own = F.array(level_of(F.col("_low"), F.col("_high")))
-    lefts, rights = levels_in(left), levels_in(right)
+    lefts, rights = levels_in(left, right)
     above = lambda levels, strictly: F.filter(F.array(*map(F.lit, levels)), lambda x: (x > own[0]) if strictly else (x >= own[0]))
     out = []
     if lefts and rights:
@@ -48,13 +52,23 @@ def _sides(left: DataFrame, right: DataFrame) -> list[tuple[DataFrame, DataFrame
     return out
 
 
+#: Up to so many rows a side is sent to every task instead; beyond it both sides are binned.
+FEW = 64
+
+
+def _few(df: DataFrame) -> bool:
+    return df.limit(FEW + 1).count() <= FEW
+
+
 def overlapping(left: DataFrame, right: DataFrame, key: str, start: str = "s0", end: str = "e0", q_start: str = "qs", q_end: str = "qe") -> DataFrame:
     """Pairs of rows with equal ``key`` where start < q_end and end > q_start, each once, with the columns of both sides.
 
     An equi join on key, level and bin. A pair is counted in the bin where the later of the two begins. As a span is
     widened to two bins at most, long spans aren't exploded, and a key that a third of the rows have is still spread
-    by its bins. Other columns of the two sides have to differ in name.
+    by its bins. A right side of a few rows is broadcast instead. Other columns of the two sides have to differ in name.
     """
+    if _few(right):
+        return left.join(F.broadcast(right), key).filter((F.col(start) < F.col(q_end)) & (F.col(end) > F.col(q_start)))
     left, right = _ends(left, start, end), _ends(right, q_start, q_end)
     names = [c for c in left.columns if c not in ("_low", "_high")] + [c for c in right.columns if c not in (key, "_low", "_high")]
     right = right.withColumnsRenamed({"_low": "_qlow", "_high": "_qhigh"})
@@ -75,6 +89,9 @@ def touching(left: DataFrame, right: DataFrame, key: str, test: Column, row: str
 
     ``test`` may only pass where the closed hulls of the spans meet; bounds are closed here and may be reversed.
     """
+    if _few(right):
+        few = right.select(F.col(key).alias("_key"), q_start, q_end)
+        return left.join(F.broadcast(few), (F.col(key) == F.col("_key")) & test, "left_semi")
     hull = lambda df, a, b: df.withColumn("_low", F.least(a, b)).withColumn("_high", F.greatest(a, b))
     left, right = hull(left, start, end), hull(right, q_start, q_end)
     names, out = [c for c in left.columns if c not in ("_low", "_high")], None

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from strandline.functions.fields import any_pattern, first_value
 from strandline.operators.intervals import covering_point, overlapping, touching, union_length
 from strandline.plans.model import Annotation
+from strandline.session import cut
 
 MODES = ("overlap", "contained", "contains")
 
@@ -127,7 +128,7 @@ def search(found: Annotation, values: list[str] | None = None, patterns: list[st
 
 def _pairs(found: Annotation, regions: DataFrame) -> DataFrame:
     """(rid, fid, qs, qe): each region once with each root it overlaps. A region may have several spans of a root."""
-    return hits(found, regions.filter("qs < qe")).select("rid", "fid", "qs", "qe").distinct()
+    return cut(hits(found, regions.filter("qs < qe")).select("rid", "fid", "qs", "qe").distinct())
 
 
 def _block_features(found: Annotation) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strandline.functions.fields import SPACE, indexed_value, trimmed, u32
+from strandline.functions.fields import SPACE, indexed_value, once, trimmed, u32
 from strandline.operators.hierarchy import resolve_roots
 from strandline.sources.annotation import read_lines, with_columns_of_lines
 
@@ -31,10 +31,8 @@ def feature_rows(lines: DataFrame, attribute: str = ATTRIBUTE, skip_types: str =
     White space around a line is dropped before it is parted; skipped types and features that end at 0 aren't features.
     Keys are found anywhere in the line.
     """
-    line = trimmed(F.col("line"))
-    rows = lines.filter((F.length("line") > 0) & ~F.startswith("line", F.lit("#"))).select("part", "off", line.alias("line")).filter("line <> ''")
-    cols = F.split("line", "\t", -1)
-    rows = rows.withColumn("c", cols)
+    rows = lines.filter((F.length("line") > 0) & ~F.startswith("line", F.lit("#"))).select("part", "off", once(trimmed(F.col("line"))).alias("line")).filter("line <> ''")
+    rows = rows.select("part", "off", "line", once(F.split("line", "\t", -1)).alias("c"))
     at = lambda i: F.get("c", F.lit(i))
     rows = rows.filter((F.size("c") != 9) | ~F.coalesce(at(2), F.lit("")).isin(skip_types.split(",")))
     rows = rows.select("part", "off", "line", F.size("c").alias("n"), at(0).alias("seqid"), u32(at(3), signed=True).alias("s"), u32(at(4), signed=True).alias("e"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strandline.functions.fields import first_value, u32
+from strandline.functions.fields import first_value, once, u32
 
 
 def with_columns_of_lines(lines: DataFrame) -> DataFrame:
@@ -17,12 +17,11 @@ def with_columns_of_lines(lines: DataFrame) -> DataFrame:
 
     Columns are split at tabs, the ninth holds the rest; what isn't there or isn't a number is null.
     """
-    # the line end of the other convention ends the attributes only where values are read
-    cols = F.split("line", "\t", 9)
-    at = lambda i: F.get(cols, F.lit(i))
-    lines = lines.withColumn("data", (F.length("line") > 0) & ~F.startswith("line", F.lit("#")))
+    names = lines.columns
+    lines = lines.select("*", ((F.length("line") > 0) & ~F.startswith("line", F.lit("#"))).alias("data"), once(F.split("line", "\t", 9)).alias("c"))
+    at = lambda i: F.get("c", F.lit(i))
     held = lambda c: F.when(F.col("data"), c)
-    lines = lines.select("*", held(at(0)).alias("seqid"), held(at(2)).alias("type"), held(u32(at(3))).alias("s1"), held(u32(at(4))).alias("e1"), held(at(8)).alias("attrs"))
+    lines = lines.select(*names, "data", held(at(0)).alias("seqid"), held(at(2)).alias("type"), held(u32(at(3))).alias("s1"), held(u32(at(4))).alias("e1"), held(at(8)).alias("attrs"))
     return lines.withColumn("id", first_value(F.col("attrs"), "ID", "; \\t"))
 
 
