@@ -99,7 +99,7 @@ def mix(measured: DataFrame, weights: Callable[[Sequence[str | None]], list[floa
     within = W.partitionBy("s", "bucket").orderBy("h1", "h2", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["s", "bucket"]).select("s", "row", "size", (F.col("before") + F.col("at")).alias("at"))
 
-    slots = _schedule(plan, small, n_slots, block_words)
+    slots = _schedule(plan, small, n_slots, len(rows), block_words)
     # the stretch of each block that a document fills, against how often and how far the schedule takes the block
     used = slots.groupBy("s", "block", "words").agg(F.count(F.lit(1)).alias("times"))
     last = F.floor((F.col("at") + F.col("size") - 1) / block_words)
@@ -113,7 +113,7 @@ def mix(measured: DataFrame, weights: Callable[[Sequence[str | None]], list[floa
     return Mix(documents.select("row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), slots)
 
 
-def _schedule(plan: DataFrame, small: Callable[[DataFrame], DataFrame], n_slots: int, block_words: int) -> DataFrame:
+def _schedule(plan: DataFrame, small: Callable[[DataFrame], DataFrame], n_slots: int, n_sources: int, block_words: int) -> DataFrame:
     """Slots with their source, rank, block and number of words."""
     spark, grid = plan.sparkSession, 4096
     live = plan.filter("quota > 0")
@@ -127,7 +127,7 @@ def _schedule(plan: DataFrame, small: Callable[[DataFrame], DataFrame], n_slots:
     ranked = drawn.join(counts, ["s", "part"]).select("slot", "s", rank.alias("rank"))
     had = counts.join(drawn.groupBy("s", "part").agg(F.count(F.lit(1)).alias("n")), ["s", "part"]).groupBy("s").agg(F.max(F.col("before") + F.col("n")).alias("had"))
     late = live.join(had, "s", "left").select("s", F.coalesce("had", F.lit(0)).alias("had"), "need").filter("need > had")
-    late = late.select("s", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank")).select((F.col("rank") + n_slots).alias("slot"), "s", "rank")
+    late = late.select("s", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank")).select((F.col("rank") * n_sources + F.col("s") + n_slots).alias("slot"), "s", "rank")
     every = ranked.unionByName(late).join(small(live.select("s", "source_size", "quota", "blocks", "need")), "s").filter("rank < need")
     block, turn = F.col("rank") % F.col("blocks"), F.floor(F.col("rank") / F.col("blocks"))
     begin = F.col("source_size") * turn + block * block_words

@@ -1,0 +1,123 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from strandline.llm import packing as p
+from strandline.llm.tokens import WordCache
+from tests.llm.helpers import clashing, tricky
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def fewest(lengths, capacity):
+    """Exact, by trying every bin."""
+    best = len(lengths)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(order):
+            best = len(bins)
+            return
+        for room in {b for b in bins if b >= order[i]}:
+            k = bins.index(room)
+            put(i + 1, bins[:k] + [room - order[i]] + bins[k + 1 :])
+        put(i + 1, [*bins, capacity - order[i]])
+
+    order = sorted(lengths, reverse=True)
+    put(0, [])
+    return best
+
+
+def test_bounds_and_bins():
+    r = random.Random(1)
+    for _ in range(200):
+        capacity = r.choice([10, 12, 100])
+        lengths = np.array([r.randrange(1, capacity + 1) for _ in range(r.randrange(0, 9))], dtype=np.int64)
+        bins, best = p.best_fit_decreasing(lengths, capacity), fewest(lengths.tolist(), capacity)
+        assert p.lower_bound(lengths, capacity) <= best <= (bins.max() + 1 if len(bins) else 0)
+        assert all(lengths[bins == b].sum() <= capacity for b in set(bins.tolist()))
+    assert p.lower_bound(np.array([51] * 7), 100) == 7 and p.lower_bound(np.array([34] * 7), 100) == 4  # the sum alone says 4 and 3
+
+
+def test_best_fit_is_best_fit():
+    r = random.Random(2)
+    lengths = np.array([r.randrange(1, 400) for _ in range(500)], dtype=np.int64)
+    rooms = []
+    for n in sorted(lengths.tolist(), reverse=True):
+        fits = [i for i, room in enumerate(rooms) if room >= n]
+        if fits:
+            rooms[min(fits, key=lambda i: rooms[i])] -= n
+        else:
+            rooms.append(400 - n)
+    assert p.best_fit_decreasing(lengths, 400).max() + 1 == len(rooms)
+
+
+@pytest.mark.parametrize("limit", [300_000, 5])
+def test_cached_ids_equal_the_tokenizers(limit):
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    r = random.Random(3)
+    bits = ["Hello", "WORLD", "naïve", "É", "ÀB", "it's", "I'LL", "'", "...", "##", "12", "a1b2", "Σς", "İ", "\U0001f600", "é", "́", "ﬁ", "<|endoftext|>", "日本", "x", "_", "×", "÷", "ª", "\x85", "\xa0", "　", "\x1c", "﻿", "‍", "!", "¿", "ÿ", "ß"]
+    texts = ["".join(r.choice(bits) + r.choice(["", "", " ", "\n", "\t", "\r\n", "  "]) for _ in range(r.randrange(30))) for _ in range(600)] + ["", " ", "a" * 3000]
+    for text, got in zip(texts, WordCache(PATH, limit).encode(texts), strict=True):
+        assert np.frombuffer(got, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def check(docs, found, capacity, end_id=1):
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for x in found:
+        by_doc[x.doc_id].append(x)
+        by_sequence[x.group, x.bin].append(x)
+    want = defaultdict(list)
+    for ident, text in docs:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, end_id]
+        for k, a in enumerate(range(0, len(ids), capacity)):
+            part = ids[a : a + capacity]
+            want[ident].append((k, a, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes())))
+    assert {i: sorted((x.piece, x.start, x.length, x.ids_crc32) for x in xs) for i, xs in by_doc.items()} == {i: sorted(w) for i, w in want.items()}
+    for xs in by_sequence.values():
+        at = 0
+        for x in sorted(xs, key=lambda x: x.offset):
+            assert x.offset == at
+            at += x.length
+        assert at <= capacity
+    return len(by_sequence)
+
+
+@pytest.mark.parametrize("group, capacity", [(40, 100), (7, 64), (100_000, 4096)])
+def test_pack(spark, group, capacity):
+    r = random.Random(group)
+    docs = [(i, " ".join(r.choice(["alpha", "beta", "gamma", "x.", "12"]) for _ in range(r.choice([0, 3, r.randrange(30), r.randrange(300)])))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    found = p.pack(df, PATH, capacity, group_pieces=group, with_ids=True).collect()
+    n = check(docs, found, capacity)
+    lengths = np.array([x.length for x in found])
+    bound = p.lower_bound(lengths, capacity)
+    assert bound <= n <= bound * (1.03 if group > 10 else 1.06) + 2  # groups of seven leave little to fit
+    assert all(zlib.crc32(x.ids) == x.ids_crc32 and x.bound <= x.bins for x in found)
+
+
+def test_exchange_saves_bins(spark):
+    docs = [(i, "word " * n) for i, n in enumerate([60, 39] * 40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").orderBy("text").repartitionByRange(8, "text")
+    alone = len({(x.group, x.bin) for x in p.pack(df, PATH, 101, rounds=0).collect()})
+    together = p.pack(df, PATH, 101).collect()
+    assert check(docs, together, 101) < alone
+
+
+def test_odd_rows(spark):
+    docs = clashing(tricky(spark), ["group", "bin", "piece", "length", "loose", "to"])
+    found = p.pack(docs, PATH, 1000).collect()
+    check([(r.doc_id, r.text) for r in docs.collect()], found, 1000)
+    assert p.pack(docs.limit(0), PATH).count() == 0
+    named = p.pack(docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), PATH).filter("doc_id = 'd9'").collect()
+    assert len(named) == 1 and named[0].length == 2
