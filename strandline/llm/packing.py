@@ -104,9 +104,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from strandline.llm.tokens import WordCache
+        from strandline.llm.tokens import word_cache
 
-        words, closing = WordCache(tokenizer_path), int(end_id).to_bytes(4, "little")
+        words, closing = word_cache(tokenizer_path), int(end_id).to_bytes(4, "little")
         task, groups, held = TaskContext.get().partitionId(), 0, {n: [] for n in names}
 
         def flush() -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -16,6 +17,12 @@ _ONE_WORD = re.compile("[a-zß-öø-ÿ]+|[!-&(-/:-@\\[-`{-~]+")
 _SPACES = {9: 32, 10: 32, 13: 32}
 
 
+@lru_cache(maxsize=1)
+def word_cache(path: str) -> WordCache:
+    """One for all tasks that a Python worker runs, so that tables are loaded and words learned once."""
+    return WordCache(path)
+
+
 class WordCache:
     """``encode`` gives little-endian unsigned 32-bit ids as bytes. Special tokens' strings count as ordinary text.
 
