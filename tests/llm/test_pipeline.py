@@ -1,0 +1,114 @@
+import random
+from collections import Counter
+
+import pytest
+
+import __spark_entry__
+import corpus_pipeline as p
+from strandline.llm.simhash import keep_one_of_each, similar_documents
+from tests.llm.helpers import clashing, tricky
+
+
+def prose(r, n):
+    return " ".join("".join(r.choice(["th", "er", "on", "an", "re", "ing", "ed", "ou", "st", "ly"]) for _ in range(r.randrange(1, 4))) for _ in range(n))
+
+
+def shingles(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def edited(r, text, rate):
+    return " ".join(prose(r, 1) if r.random() < rate else w for w in text.split())
+
+
+@pytest.fixture(scope="module")
+def near():
+    r = random.Random(1)
+    base = [prose(r, r.randrange(80, 500)) for _ in range(120)]
+    rows = list(base) + [base[i] for i in range(20)] + [base[20 + i].upper() for i in range(5)] + [edited(r, base[30 + i], 0.008) for i in range(60)]
+    return [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(rows)]
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_copies_against_brute_force(spark, near):
+    got = {x.doc_id: x["first"].doc_id for x in similar_documents(spark.createDataFrame(near, COLUMNS)).collect()}
+    alike = linked = 0
+    for i, a, *_ in near:
+        for j, b, *_ in near[:i]:
+            similar = jaccard(a, b)
+            if similar >= 0.8:
+                alike, linked = alike + 1, linked + (got[i] == got[j])
+            elif similar < 0.5 and got[i] == got[j]:
+                # only through others
+                assert any(got[k] == got[i] and k not in (i, j) for k in got)
+    assert alike > 60 and linked >= 0.97 * alike
+    assert all(got[i] == i for i in range(70, 120) if i >= 90) and all(got[120 + i] == i for i in range(20))
+    assert all(got[i] <= i for i in got)
+
+
+def test_one_of_each_stays(spark, near):
+    docs = clashing(spark.createDataFrame(near, COLUMNS), ["rid", "node", "first", "row", "h1", "index"])
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    firsts = {x["first"].doc_id for x in similar_documents(docs).collect()}
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(firsts)
+
+
+def test_lists_that_are_split(spark):
+    r = random.Random(4)
+    base = prose(r, 400)
+    rows = [(i, edited(r, base, 0.004), "en", "s", 1) for i in range(60)] + [(100 + i, prose(r, 300), "en", "s", 1) for i in range(20)]
+    got = {x.doc_id: x["first"].doc_id for x in similar_documents(spark.createDataFrame(rows, COLUMNS), list_limit=7).collect()}
+    assert len({got[i] for i in range(60)}) == 1 and all(got[100 + i] == 100 + i for i in range(20))
+
+
+def test_odd_rows(spark):
+    docs = clashing(tricky(spark), ["rid", "first", "node"])
+    kept = keep_one_of_each(docs).collect()
+    assert len([x for x in kept if not (x.text or "").split()]) == 1  # texts without words are alike
+    assert Counter(x.doc_id for x in kept)[5] == 1 and len(kept) == 7
+    assert keep_one_of_each(docs.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, "a b c d e f"), (None, "A b c d e f"), (None, "x y z")], "doc_id long, text string")
+    assert keep_one_of_each(nameless).count() == 2
+
+
+def test_stages(spark, near):
+    r = random.Random(9)
+    shared = "One line that stands in every document."
+    rows = [(i, shared + "\n" + t, *rest) for i, t, *rest in near] + [(900, "too short", "en", "s0", 9), (901, prose(r, 5) * 30, "en", "s0", 9)]
+    docs = clashing(spark.createDataFrame(rows, COLUMNS), ["row", "size", "key"])
+    before = docs
+    for name, stage in p.STAGES:
+        after = stage(spark, docs, "")
+        if name != "packing":
+            assert after.columns == docs.columns
+        after = after.cache()
+        got = after.collect()
+        if name == "quality":
+            assert {x.doc_id for x in got} & {900} == set() and {x.doc_id for x in got} >= {i for i, *_ in near}
+        if name == "lines":
+            assert after.count() == docs.count() and not any(shared in x.text for x in got) and all(x.n_chars == len(x.text) for x in got)
+        if name == "near_duplicates":
+            assert len({x.doc_id for x in got}) == len(got) < docs.count()
+        if name == "mixture":
+            words = lambda rows, s: sum(len(x.text.split()) for x in rows if x.source == s)
+            was = docs.collect()
+            assert max(Counter(x.doc_id for x in got).values()) <= 3
+            assert words(got, "s2") > words(was, "s2") and words(got, "s0") < words(was, "s0")
+        docs = after
+    assert {x.doc_id for x in got} <= {x[0] for x in rows} and before is not docs
+
+
+def test_registered(spark, tmp_path, near):
+    spark.createDataFrame(near, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert __spark_entry__.queries()["pipeline"] is p.run and "pipeline" not in __spark_entry__.oracle_sql()
+    first = sorted(map(tuple, p.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect()))
+    assert first == sorted(map(tuple, p.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect())) and first
