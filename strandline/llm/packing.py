@@ -37,16 +37,22 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """No packing has fewer bins: the best of several dual feasible functions.
+    """No packing of these lengths has fewer bins."""
+    return lower_bound_of_counts(dict(enumerate(np.bincount(lengths, minlength=1).tolist())), capacity)
+
+
+def lower_bound_of_counts(counts: dict[int, int], capacity: int) -> int:
+    """The best of several dual feasible functions, from the number of pieces of each length.
 
     A function is dual feasible if what it gives for the pieces of any full bin adds up to 1 at most, so its sum over all
     pieces, rounded up, bounds the bins. Used: the identity, the step functions that round down to k-ths, and those that
     count pieces above ``capacity - t`` as 1 and drop the ones below ``t``.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(object if len(lengths) > 1 << 40 else np.int64)
-    size = np.arange(capacity + 1, dtype=np.int64)
+    count, size = np.zeros(capacity + 1), np.arange(capacity + 1, dtype=np.int64)
+    count = count.astype(object if sum(counts.values()) > 1 << 40 else np.int64)
+    for length, n in counts.items():
+        if n:
+            count[length] = n
     best = -(-int((count * size).sum()) // capacity)
     for k in range(1, 33):
         whole, scaled = (k + 1) * size % capacity == 0, (k + 1) * size // capacity
@@ -70,14 +76,11 @@ def _packed(columns: dict, capacity: int, group: int) -> dict:
     first = np.searchsorted(bins[order], np.arange(n))
     offset = np.empty(len(bins), dtype=np.int64)
     offset[order] = before - before[first][bins[order]]
-    # the emptiest bin of a certified group is what it may exchange
-    loose = fill[bins] < capacity
-    if n <= (bound := lower_bound(lengths, capacity)):
-        loose &= bins == int(fill.argmin())
-    return columns | {"group": np.full(len(bins), group), "bin": bins, "offset": offset, "bins": np.full(len(bins), n), "bound": np.full(len(bins), bound), "loose": loose}
+    emptiest = bins == int(fill.argmin())
+    return columns | {"group": np.full(len(bins), group), "bin": bins, "offset": offset, "bins": np.full(len(bins), n), "bound": np.full(len(bins), lower_bound(lengths, capacity)), "fill": fill[bins], "emptiest": emptiest}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = 100_000, rounds: int = 3, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = 100_000, rounds: int = 4, with_ids: bool = False) -> DataFrame:
     """Pieces of documents with their places in sequences of at most ``capacity`` tokens.
 
     Returns one row per piece: doc_id, piece, start (the document's tokens before it), length, ids_crc32, optionally
@@ -85,11 +88,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     A document is its ids followed by ``end_id``; only one longer than ``capacity`` is cut, into pieces of that length.
 
     Each task tokenizes its documents and packs them by best-fit decreasing, in groups of ``group_pieces`` at most, so
-    memory is bounded and nothing is exchanged. Dual feasible functions bound the bins of each group from below; a group
-    that meets its bound is certified. Then pieces change groups: all bins with room of groups that miss their bound,
-    and the emptiest bin of each certified group, whose total is less than a bin's worth from its own bound. They are
-    dealt to fewer, mixed groups and packed again; a group's new bins count if they are fewer than the bins it got.
-    Up to ``rounds`` exchanges run, until one group is left or nothing improves.
+    memory is bounded and nothing is exchanged. Dual feasible functions bound the bins of each group from below, and from
+    the number of pieces of each length those of the corpus; a group that meets its bound is certified. Then pieces change
+    groups: all bins with room of groups that miss their bound, and the emptiest bin of each certified one, or, where the
+    corpus has more bins above its bound than one a group, all bins with room of any group. They are dealt by a hash to
+    mixed groups and packed again; the new bins count if they are fewer. Up to ``rounds`` exchanges run, until the corpus
+    meets its bound, one group is left or nothing improves.
 
     Null or empty text is one piece of one token. Rows that repeat are packed separately, and ties in length go by order
     of arrival in a task. An empty table gives an empty result.
@@ -98,7 +102,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     fields = [pa.field("doc_id", ID_TYPES.get(kind, pa.string())), pa.field("piece", pa.int32()), pa.field("start", pa.int64()), pa.field("length", pa.int64()), pa.field("ids_crc32", pa.int64())]
     fields += [pa.field("ids", pa.binary())] if with_ids else []
     names = [f.name for f in fields]
-    schema = pa.schema([*fields, pa.field("group", pa.int64()), *(pa.field(n, pa.int64()) for n in ("bin", "offset", "bins", "bound")), pa.field("loose", pa.bool_())])
+    schema = pa.schema([*fields, pa.field("group", pa.int64()), *(pa.field(n, pa.int64()) for n in ("bin", "offset", "bins", "bound", "fill")), pa.field("emptiest", pa.bool_())])
     ddl = ", ".join(f"`{n}` {({pa.int64(): 'bigint', pa.int32(): 'int', pa.binary(): 'binary', pa.bool_(): 'boolean', pa.string(): 'string'})[schema.field(n).type]}" for n in schema.names)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,34 +133,40 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         yield from flush()
 
     def repack(key: tuple, rows: pa.Table) -> pa.Table:
-        was = len(set(zip(rows["group"].to_pylist(), rows["bin"].to_pylist())))
-        columns = {n: rows[n].to_pylist() for n in names}
-        out = _packed(columns, capacity, key[0].as_py())
-        if int(out["bins"][0]) >= was:
-            return rows.drop_columns("to").set_column(rows.drop_columns("to").schema.get_field_index("loose"), "loose", pa.array([False] * rows.num_rows))
+        out = _packed({n: rows[n].to_pylist() for n in names}, capacity, key[0].as_py())
         return pa.table([pa.array(out[n], type=schema.field(n).type) for n in schema.names], schema=schema)
 
     # a document's id is passed through as text unless it is a number
     plain = F.col(id_col) if kind in ID_TYPES else F.col(id_col).cast("string")
     packed = cut(docs.select(plain.alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokenize, ddl))
-    done, step = None, 1
+    count = lambda df: df.select("group", "bin").distinct().count()
+    state = packed.agg(F.count_distinct("group").alias("groups"), F.count_distinct("group", "bin").alias("bins")).first()
+    groups, bins, bound, done = state.groups, state.bins, corpus_bound(packed, capacity), None
     for turn in range(rounds):
-        pool = packed.filter("loose")
-        groups = [r.group for r in pool.select("group").distinct().orderBy("group").collect()]
-        if len(groups) < 2:
-            break
+        # together the groups may waste a bin each; more means that their pieces don't suit each other, though each be certified
+        apart = bins - bound > groups
+        loose = (F.col("fill") < capacity) & (F.lit(apart) | (F.col("bins") > F.col("bound")) | F.col("emptiest"))
+        pool = packed.filter(loose)
         n = pool.count()
-        # as many groups as the pieces fill, fewer than before so that pieces meet others
-        targets = max(1, min(-(-n // group_pieces), -(-len(groups) // 2)))
-        to = F.pmod(F.xxhash64("group", F.lit(turn)), F.lit(targets)) if targets > 1 else F.lit(0)
-        new = (F.lit(-1 - (turn << 32)) - to.cast("long")).alias("to")
-        settled = packed.filter("NOT loose")
-        done = settled if done is None else done.unionByName(settled)
-        packed = cut(pool.select("*", new).groupBy("to").applyInArrow(repack, ddl))
-        if targets == 1:
+        targets = max(1, min(-(-n // group_pieces), groups if apart else -(-groups // 2)))
+        if n < 2 or groups < 2 or bins <= bound:
             break
+        to = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(targets))
+        dealt = pool.select("*", (F.lit(-1 - (turn << 32)) - to.cast("long")).alias("to"))
+        again = cut(dealt.groupBy("to").applyInArrow(repack, ddl))
+        saved = count(pool) - count(again)
+        if saved <= 0:
+            break
+        settled = packed.filter(~loose)
+        done, packed, groups, bins = settled if done is None else done.unionByName(settled), again, targets, bins - saved
     done = packed if done is None else done.unionByName(packed)
-    return done.drop("loose")
+    return done.drop("fill", "emptiest")
+
+
+def corpus_bound(packed: DataFrame, capacity: int) -> int:
+    """The lower bound over all pieces, from how many there are of each length: a table of ``capacity`` rows at most."""
+    rows = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    return lower_bound_of_counts({r.length: r.n for r in rows}, capacity)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
