@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.support import BLANKS, lower_ascii, row_key, table
+from strandline.llm.support import lower_ascii, row_key, table, BLANKS
 
 
 def line_key(line: Column) -> Column:
@@ -13,7 +13,7 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(BLANKS)))
 
 
-def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, parts: int = 32) -> DataFrame:
     """Drop the lines whose key occurs in at least ``min_docs`` distinct documents.
 
     Returns one row per input row: ``row`` (the input row as a struct, so that its column names can't clash),
@@ -39,7 +39,10 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .filter(F.col("n") >= min_docs)
         .select("h1", "h2")
     )
-    dropped = lines.join(common, ["h1", "h2"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    # a line that a third of all documents have would meet its hash in one task: each hash goes to several parts
+    lines = lines.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    common = common.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    dropped = lines.join(common, ["h1", "h2", "part"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     both = base.join(dropped, base["key"].eqNullSafe(dropped["key"]), "left").select("row", F.split("text", "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     # stretch k lies between the dropped positions k - 1 and k; each line is copied once
     start = lambda k: F.when(k == 0, 0).otherwise(F.get("gone", k - 1) + 1)
