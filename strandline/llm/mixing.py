@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strandline.llm.support import WORD, cut, table
+from strandline.llm.support import cut, table, WORD
 
 #: Fraction of the golden ratio, whose multiples modulo one fill the unit interval evenly.
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -90,7 +90,7 @@ def mix(measured: DataFrame, weights: Callable[[Sequence[str | None]], list[floa
         rows.append((i, name, size, float(target), quota, low, low := low + (target / total if total else 0.0), blocks, passes * blocks + -(-rest // block_words)))
     plan = spark.createDataFrame(rows, "s int, source string, source_size long, target double, quota long, low double, high double, blocks long, need long").coalesce(1)
     small = F.broadcast if len(rows) <= 10_000 else lambda df: df
-    n_slots, buckets = -(-total // block_words), max(1, sum(r[2] for r in listed) // 20_000)
+    n_slots, buckets = -(-total // block_words), min(100_000, max(64, sum(r[2] for r in listed) // 2_000))
 
     names = plan.select("s", F.col("source").alias("name"))
     placed = measured.join(small(names), F.col("source").eqNullSafe(F.col("name"))).select("s", "row", "size", "h1", "h2", F.pmod("h1", F.lit(buckets)).alias("bucket"))
