@@ -74,6 +74,12 @@ def placed_lines(lines: DataFrame, spans: DataFrame) -> DataFrame:
     return within.join(F.broadcast(parts.withColumnRenamed("part", "_part")), F.col("part") == F.col("_part")).select(*lines.columns, F.coalesce("b0", "carry").alias("b0"))
 
 
+def block_placed(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """Adds b0 and the block's fid. A root's number leads to its last block alone; fid is null in the others."""
+    reachable = spans.groupBy("fid").agg(F.max("b0").alias("b0"))
+    return placed_lines(lines, spans).join(reachable, "b0", "left")
+
+
 def block_extents(spans: DataFrame, end_of_file: DataFrame) -> DataFrame:
     """fid, seqid, b0 and b1 of every block: it ends where the next root's line begins, the last one at the end of the file (column ``end``)."""
     nexts = F.lead("b0").over(W.partitionBy("part").orderBy("b0"))
@@ -86,7 +92,7 @@ def block_extents(spans: DataFrame, end_of_file: DataFrame) -> DataFrame:
 class Annotation:
     """Tables of one annotation. ``attribute`` is the key whose values ``attr`` holds.
 
-    ``lines``: part, off, line, eol, data, seqid, type, s1, e1, attrs, id, b0. ``links``: part, off, seqid, s0, e0, id, parent, attr, fid, par.
+    ``lines``: b0, part, off, line, eol, data, seqid, type, s1, e1, attrs, id, fid. ``links``: part, off, seqid, s0, e0, id, parent, attr, fid, par.
     """
 
     lines: DataFrame
@@ -100,15 +106,10 @@ class Annotation:
     def spans(self) -> DataFrame:
         return root_spans(self.links)
 
-    @cached_property
-    def reachable(self) -> DataFrame:
-        """fid and b0 of the one block that each root's number leads to: the last."""
-        return self.spans.groupBy("fid").agg(F.max("b0").alias("b0"))
-
-    @cached_property
+    @property
     def block_lines(self) -> DataFrame:
-        """Lines of reachable blocks, with fid."""
-        return self.lines.join(self.reachable, "b0")
+        """Lines of reachable blocks."""
+        return self.lines.filter("fid IS NOT NULL")
 
     @cached_property
     def seqids(self) -> DataFrame:
@@ -132,7 +133,7 @@ class Annotation:
         links = spark.read.parquet(f"{path}/links")
         resolve_roots(links.select(F.col("off").alias("node"), F.col("par").alias("parent"))).write.mode("overwrite").parquet(f"{path}/roots")
         unplaced = self.lines if self.unplaced is None else self.unplaced
-        lines = placed_lines(unplaced, root_spans(links)) if self.unplaced is not None else unplaced
+        lines = block_placed(unplaced, root_spans(links)) if self.unplaced is not None else unplaced
         lines.write.mode("overwrite").parquet(f"{path}/lines")
         spark.createDataFrame([(self.attribute,)], "attribute string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
         return Annotation.load(spark, path)
@@ -160,7 +161,7 @@ def from_lines(lines: DataFrame, attribute: str = ATTRIBUTE, skip_types: str = S
         raise BadAnnotation(fault)
     links = linked(features.drop("fault"))
     lines = with_columns_of_lines(lines)
-    return Annotation(placed_lines(lines, root_spans(links)), links, attribute, unplaced=lines)
+    return Annotation(block_placed(lines, root_spans(links)), links, attribute, unplaced=lines)
 
 
 def build_index(spark: SparkSession, path: str, attribute: str = ATTRIBUTE, skip_types: str = SKIPPED, save: str | None = None) -> Annotation:
