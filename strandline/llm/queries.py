@@ -16,5 +16,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_secrets": secrets.ORACLE_SQL,
     "op10_chat": chat.ORACLE_SQL,
 }

@@ -16,7 +16,8 @@ MIN_ASSIGN = 12
 
 # Parts of credentials that are too weak to be reported alone.
 IDENTIFIER = r"""(?i)(?:access_key_id|client_id|account_id|tenant_id|username|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}"""
-SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[^A-Z]{0,64}[A-Z])(?=[^a-z]{0,64}[a-z])[A-Za-z0-9+/_=-]{20,}"
+#: A token counts if it has characters of each of these kinds.
+SECRET, MIXED = r"[A-Za-z0-9+/_=-]{20,}", ("[A-Z]", "[a-z]", "[0-9]")
 ENDPOINT = r"""(?i)https?://[a-z0-9.-]{3,}(?::[0-9]{1,5})?(?:/[A-Za-z0-9._~%/-]*)?"""
 
 KINDS = ["assign", "access", "hex", "identifier", "secret", "endpoint"]
@@ -66,6 +67,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", radius: int = 200) ->
     df = _with_spans(df, "identifier", IDENTIFIER)
     named = (F.size("access") > 0) | (F.size("identifier") > 0)
     df = _with_spans(df, "token", SECRET, named)
+    df = df.withColumn("token", F.filter("token", lambda s: s["found"].rlike(MIXED[0]) & s["found"].rlike(MIXED[1]) & s["found"].rlike(MIXED[2])))
     df = _with_spans(df, "endpoint", ENDPOINT, named)
 
     def parts(spans: Column, kind: str) -> Column:
@@ -113,3 +115,41 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(F.col("row.doc_id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """Spans by splitting at the matches, parts joined by the distance of their starts."""
+    patterns = {"assigned": ASSIGN, "access": ACCESS, "hex": HEX, "identifier": IDENTIFIER, "token": SECRET, "endpoint": ENDPOINT}
+    quoted = {k: p.replace("'", "''") for k, p in patterns.items()}
+    kinds = " UNION ALL ".join(f"SELECT '{k}' AS found, '{p}' AS pattern" for k, p in quoted.items())
+    return f"""
+WITH p AS ({kinds}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT rid, text, found, unnest(ms) AS hit, unnest(gs) AS gap, unnest(range(len(ms))) AS i
+  FROM (SELECT rid, text, found, regexp_extract_all(text, pattern) AS ms, string_split_regex(text, pattern)[:-2] AS gs FROM d, p WHERE regexp_matches(text, pattern))
+), s AS (
+  SELECT rid, found, hit, (sum(length(gap) + length(hit)) OVER (PARTITION BY rid, found ORDER BY i) - length(hit))::BIGINT AS "start", length(hit) AS n,
+         length(regexp_extract(hit, '{quoted["assigned"]}', 2)) AS value FROM m
+), parts AS (
+  SELECT rid, "start", "start" + n AS "end", CASE WHEN found = 'assigned' THEN CASE WHEN value >= {MIN_ASSIGN} THEN 0 ELSE 4 END
+         ELSE CASE found WHEN 'access' THEN 1 WHEN 'hex' THEN 2 WHEN 'identifier' THEN 3 WHEN 'token' THEN 4 ELSE 5 END END AS rank
+  FROM s WHERE found <> 'token' OR (regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[0-9]'))
+), marked AS (
+  SELECT rid, "start", "end", rank,
+    EXISTS (SELECT 1 FROM parts q WHERE q.rid = a.rid AND q.rank IN (1, 3) AND abs(q."start" - a."start") <= 200) AS named,
+    EXISTS (SELECT 1 FROM parts q WHERE q.rid = a.rid AND q.rank IN (0, 2, 4) AND abs(q."start" - a."start") <= 200) AS secret,
+    EXISTS (SELECT 1 FROM parts q WHERE q.rid = a.rid AND q.rank < 3 AND q."start" <= a."start" AND q."end" >= a."end") AS held
+  FROM parts a
+), kept AS (
+  SELECT rid, "start", rank, ['assign', 'access', 'hex', 'identifier', 'secret', 'endpoint'][rank + 1] || ':' || "start" || ':' || "end" AS span
+  FROM marked WHERE rank < 3 OR (rank = 3 AND secret) OR (rank = 4 AND named AND NOT held) OR (rank = 5 AND named AND secret)
+)
+SELECT any_value(doc_id) AS doc_id, (count(*) FILTER (WHERE rank = 0))::BIGINT AS n_assign, (count(*) FILTER (WHERE rank = 1))::BIGINT AS n_access,
+       (count(*) FILTER (WHERE rank = 2))::BIGINT AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY "start", rank) FILTER (WHERE rank < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY "start", rank, span), '') AS spans
+FROM d LEFT JOIN kept USING (rid) GROUP BY rid"""
+
+
+ORACLE_SQL = _sql()

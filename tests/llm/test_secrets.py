@@ -25,7 +25,7 @@ def every(text, radius=200):
     if not names and not any(k == 1 for _, k, _ in strong):
         return strong
     weak = [(m.start(), 4, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) < MIN_ASSIGN]
-    weak += [(m.start(), 4, m.end()) for m in re.finditer(secrets.SECRET, text)]
+    weak += [(m.start(), 4, m.end()) for m in re.finditer(secrets.SECRET, text) if all(re.search(c, m[0]) for c in ("[A-Z]", "[a-z]", "[0-9]"))]
     weak += [(m.start(), 3, m.end()) for m in names]
     weak += [(m.start(), 5, m.end()) for m in re.finditer(secrets.ENDPOINT, text, re.A)]
     parts = strong + weak
