@@ -96,6 +96,16 @@ def missing_ids(found: Annotation, ids: DataFrame) -> DataFrame:
     return ids.select("value").distinct().join(found.links.select(F.col("id").alias("value")), "value", "left_anti")
 
 
+def rootless(found: Annotation) -> DataFrame:
+    """(off, id) of features whose parents lead to no root."""
+    return found.links.select("off", "id").join(found.roots.filter("root IS NULL").select(F.col("node").alias("off")), "off", "left_semi")
+
+
+def _warn_rootless(found: Annotation, wanted: DataFrame, column: str) -> None:
+    if n := rootless(found).join(found.links.select("off", column).join(wanted.select(F.col("value").alias(column)).distinct(), column, "left_semi"), "off", "left_semi").count():
+        warnings.warn(f"{n} of the features found have no root: their parents form a cycle", stacklevel=3)
+
+
 def extract(found: Annotation, ids: DataFrame, entire: bool = False, types: str | None = None, warn: bool = False) -> DataFrame:
     """Lines of the features with the given ids (value), or of their whole groups.
 
@@ -103,6 +113,8 @@ def extract(found: Annotation, ids: DataFrame, entire: bool = False, types: str
     """
     if warn and (n := missing_ids(found, ids).count()):
         warnings.warn(f"{n} of the requested ids are in no feature", stacklevel=2)
+    if warn:
+        _warn_rootless(found, ids, "id")
     return _selected(found, extract_roots(found, ids), "ID", entire, types)
 
 

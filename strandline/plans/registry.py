@@ -33,7 +33,7 @@ WITH RECURSIVE raw AS (
               ELSE 'g' || CAST(l_orderkey AS VARCHAR) END, NULL
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), placed AS (
-  SELECT *, k * 1000 + row_number() OVER (PARTITION BY k ORDER BY ln, pk, sk) - 1 AS off,
+  SELECT *, k * 1000 + row_number() OVER (PARTITION BY k ORDER BY ln, pk, sk, e1, type) - 1 AS off,
          greatest(least(s1, e1) - 1, 0) AS s0, greatest(s1, e1) AS e0 FROM raw
 ), numbered AS (SELECT *, max(off) OVER (PARTITION BY id) AS fid FROM placed
 ), idmap AS (SELECT DISTINCT id, fid FROM numbered

@@ -26,13 +26,13 @@ def annotation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = k * 100 + 1
     attrs = F.concat(F.lit("ID=g"), k, F.lit(";gene_name="), F.col("o_orderpriority"), F.lit("_"), F.col("o_custkey") % 50)
     zero = F.lit(0).cast("long")
-    genes = orders.select(k.alias("k"), zero.cast("int").alias("ln"), zero.alias("pk"), zero.alias("sk"), line(F.lit("gene"), start, k * 100 + 50 + (k * 37) % 400, attrs).alias("line"))
+    genes = orders.select(k.alias("k"), zero.cast("int").alias("ln"), zero.alias("pk"), zero.alias("sk"), line(F.lit("gene"), start, k * 100 + 50 + (k * 37) % 400, attrs).alias("line"), zero.alias("q"), F.lit("gene").alias("kind"))
     kind = F.when(F.col("l_returnflag") == "A", "exon").when(F.col("l_returnflag") == "N", "CDS").otherwise("mRNA")
     start = start + F.col("l_partkey") % 50
     parent = F.when(ln % 2 == 0, F.concat(F.lit("x"), k, F.lit("."), ln - 1)).otherwise(F.concat(F.lit("g"), k))
     attrs = F.concat(F.lit("ID=x"), k, F.lit("."), ln, F.lit(";Parent="), parent)
-    children = items.join(orders, F.col("l_orderkey") == k).select(k.alias("k"), ln.alias("ln"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), line(kind, start, start + F.col("l_quantity").cast("long"), attrs).alias("line"))
-    place = F.row_number().over(W.partitionBy("k").orderBy("ln", "pk", "sk", "line")) - 1
+    children = items.join(orders, F.col("l_orderkey") == k).select(k.alias("k"), ln.alias("ln"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), line(kind, start, start + F.col("l_quantity").cast("long"), attrs).alias("line"), F.col("l_quantity").cast("long").alias("q"), kind.alias("kind"))
+    place = F.row_number().over(W.partitionBy("k").orderBy("ln", "pk", "sk", "q", "kind")) - 1
     return genes.unionByName(children).select(F.floor(F.col("k") / 4096).alias("part"), (F.col("k") * 1000 + place).alias("off"), "line", F.lit("\n").alias("eol"))
 
 

@@ -102,6 +102,16 @@ def test_extract_types_and_misses(spark, demo):
         c.extract(demo[1], table, warn=True)
 
 
+def test_features_without_a_root(spark, tmp_path):
+    row = "chr1\ts\texon\t1\t5\t.\t+\t.\tID={};Parent={}\n".format
+    (tmp_path / "c.gff").write_text(TEXT + row("u", "v") + row("v", "u"))
+    found = build_index(spark, str(tmp_path / "c.gff"))
+    assert sorted(r.id for r in c.rootless(found).collect()) == ["u", "v"]
+    table = spark.createDataFrame([("u",), ("t1",)], "value string")
+    with pytest.warns(UserWarning, match="1 of the features found have no root"):
+        assert [NUMBER[r.off] for r in c.extract(found, table, warn=True).collect()] == [4]
+
+
 def test_search(spark, demo):
     found = demo[1]
     assert numbers(c.search(found, ["ALPHA"])) == [3, 4] and numbers(c.search(found, ["ALPHA"], entire=True)) == span("3-9")
