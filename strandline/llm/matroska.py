@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.support import table
+from strandline.llm.support import small_batches, table
 
 # Element ids of the container format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -290,7 +290,7 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
             if rows:
                 yield batch(rows)
 
-    return plain.mapInArrow(parse, f"id string, {PACKET_DDL}, error string")
+    return plain.transform(small_batches).mapInArrow(parse, f"id string, {PACKET_DDL}, error string")
 
 
 def feature(samples: bytes) -> str:
@@ -327,7 +327,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for n, c in zip(names, zip(*rows))], names=names)
 
-    return plain.mapInArrow(run, FEATURES)
+    return plain.transform(small_batches).mapInArrow(run, FEATURES)
 
 
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

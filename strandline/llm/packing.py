@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.support import cut, table
+from strandline.llm.support import cut, small_batches, table
 
 ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
 
     # a document's id is passed through as text unless it is a number
     plain = F.col(id_col) if kind in ID_TYPES else F.col(id_col).cast("string")
-    packed = cut(docs.select(plain.alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokenize, ddl))
+    packed = cut(docs.select(plain.alias("doc_id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(tokenize, ddl))
     count = lambda df: df.select("group", "bin").distinct().count()
     state = packed.agg(F.count_distinct("group").alias("groups"), F.count_distinct("group", "bin").alias("bins")).first()
     groups, bins, bound, done = state.groups, state.bins, corpus_bound(packed, capacity), None

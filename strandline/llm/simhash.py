@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.support import cut, table
+from strandline.llm.support import cut, small_batches, table
 
 BYTES = 8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -46,7 +46,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             fps = [fingerprint(t.as_py() or b"", words) for t in got.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([got.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def bucket_edges(fps: np.ndarray, distance: int) -> np.ndarray:
@@ -263,7 +263,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 columns = [got.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(h1), pa.array(h2), pa.array(index, type=pa.binary()), pa.array(proof, type=pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "h1", "h2", "index", "proof"])
 
-    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, node bigint, h1 bigint, h2 bigint, index binary, proof binary")
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(run, "doc_id bigint, node bigint, h1 bigint, h2 bigint, index binary, proof binary")
     each = cut(each.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2").alias("rid"), "doc_id", "node", "index", "proof"))
     nodes = each.groupBy("node").agg(F.min("rid").alias("least"), F.first("index").alias("index"), F.first("proof").alias("proof"))
     nodes = cut(nodes)
@@ -310,7 +310,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     at, (h1, h2) = docs.columns.index(text_col), [f"{'_' * 9}h{i}{max(docs.columns, key=len)}" for i in (1, 2)]
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{h1}` bigint, `{h2}` bigint"
-    hashed = docs.mapInArrow(run, schema)
+    hashed = docs.transform(small_batches).mapInArrow(run, schema)
     ident = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("doc_id"), F.col(h1).alias("h1"), F.col(h2).alias("h2"))
     rows = hashed.select(F.struct(*[hashed[c] for c in docs.columns]).alias("row"), ident.alias("rid"))
     if not first.filter("n > 1").isEmpty():

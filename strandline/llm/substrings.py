@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strandline.llm.support import LOWER, UPPER, table
+from strandline.llm.support import small_batches, table, LOWER, UPPER
 
 _LOWER = str.maketrans(UPPER, LOWER)
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?![ \t\r\x0b\x0c\n]|$)[^\n.!?]*)*(?:[.!?]+|(?=\n)|$)")
@@ -106,7 +106,7 @@ def hashed_units(docs: DataFrame, id_col: str, text_col: str, least_words: int)
             if rows:
                 yield batch(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, UNITS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(run, UNITS)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, span_words: int = 20) -> DataFrame:

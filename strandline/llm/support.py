@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; its session hands Python batches of 16 MB at most, so that long texts don't pile up in a worker."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(key)) or 0) > most or not conf.get(key).rstrip("bB").isdigit():
+        conf.set(key, str(most))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

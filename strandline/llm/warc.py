@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.support import table
+from strandline.llm.support import small_batches, table
 
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the public name space of URLs
 RECORD = "source string, offset bigint, type string, record_id string, headers array<struct<name:string,value:string>>, block binary, error string"
@@ -241,7 +241,7 @@ def records(files: DataFrame, source_col: str = "path", content_col: str = "cont
             if rows:
                 yield _batch(rows)
 
-    return files.select(F.col(source_col).cast("string"), F.col(content_col).cast("binary")).mapInArrow(run, RECORD)
+    return files.select(F.col(source_col).cast("string"), F.col(content_col).cast("binary")).transform(small_batches).mapInArrow(run, RECORD)
 
 
 def derivatives(found: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def derivatives(found: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(rows)
 
-    return found.filter("type = 'response'").select("source", "offset", "headers", "block").mapInArrow(run, RECORD)
+    return found.filter("type = 'response'").select("source", "offset", "headers", "block").transform(small_batches).mapInArrow(run, RECORD)
 
 
 def as_files(found: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def as_files(found: DataFrame) -> DataFrame:
                 out.append(gzip.compress(write_record(headers, r["block"]), mtime=0))
             yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(out, type=pa.binary())], names=["source", "type", "content"])
 
-    return found.filter("error IS NULL").select("source", "type", "headers", "block").mapInArrow(run, "source string, type string, content binary")
+    return found.filter("error IS NULL").select("source", "type", "headers", "block").transform(small_batches).mapInArrow(run, "source string, type string, content binary")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +289,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
             content = [response_record(u or "", (h or "").encode("utf-8", "surrogatepass"), str(i), "1970-01-01T00:00:00Z") for i, u, h in zip(ids, got.column(1).to_pylist(), got.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([None if i is None else str(i) for i in ids], type=pa.string()), pa.array(content, type=pa.binary())], names=["path", "content"])
 
-    files = table(spark, sf_dir, "pages").select("page_id", "url", "html").mapInArrow(store, "path string, content binary")
+    files = table(spark, sf_dir, "pages").select("page_id", "url", "html").transform(small_batches).mapInArrow(store, "path string, content binary")
     value = lambda name: F.filter("headers", lambda h: h["name"] == name)[0]["value"]
     about = F.col("block").cast("string")
     return derivatives(records(files)).select(
