@@ -99,28 +99,39 @@ def bucket_edges(fps: np.ndarray, distance: int) -> np.ndarray:
     return np.stack([fps[out[:, 0]], fps[out[:, 1]]], axis=1).view(np.int64) if len(out) else np.empty((0, 2), dtype=np.int64)
 
 
-def links(fps: DataFrame, distance: int = 2) -> DataFrame:
+def _mask(positions) -> int:
+    mask = sum(0xFF << (8 * (BYTES - 1 - p)) for p in positions)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def links(fps: DataFrame, distance: int = 2, list_limit: int = 20_000) -> DataFrame:
     """Links (a, b) that connect all fingerprints within ``distance`` bits, from distinct ``fp``.
 
     ``distance`` bits change at most that many of the 8 bytes, so a linked pair has the other bytes in common, each at
     its own position. The positions are dealt to ``distance + 2`` groups; as two groups at least stay whole, an inverted
     index on pairs of groups (their positions and bytes) holds every linked pair in one posting list or more, and only
     lists of two or more are read. A list gives a spanning forest, not its pairs.
+
+    A list of more than ``list_limit`` is indexed anew by all sets of ``8 - distance`` positions that hold its own: its
+    linked pairs agree in one of those, and such a list has at most 256 ** distance fingerprints, which fit a task
+    however many near copies a text has.
     """
     groups = [range(BYTES)[k :: distance + 2] for k in range(distance + 2)]
-    masks = []
-    for i, j in combinations(range(len(groups)), 2):
-        mask = sum(0xFF << (8 * (7 - p)) for p in (*groups[i], *groups[j]))
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    posting = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))
+    bases = [(*groups[i], *groups[j]) for i, j in combinations(range(len(groups)), 2)]
+    posting = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(b))) for b in bases]))
     postings = fps.select("fp", posting.alias("combo", "bytes"))
-    lists = postings.groupBy("combo", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    lists = postings.groupBy("combo", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = postings.join(lists, ["combo", "bytes"])
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         found = bucket_edges(rows["fp"].to_numpy(), distance)
         return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    return postings.join(lists, ["combo", "bytes"]).groupBy("combo", "bytes").applyInArrow(run, "a bigint, b bigint").distinct()
+    wider = [[_mask((*b, *more)) for more in combinations([p for p in range(BYTES) if p not in b], BYTES - distance - len(b))] for b in bases]
+    again = F.array(*[F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for m in masks]) for masks in wider])
+    large = held.filter(F.col("n") > list_limit).select("fp", F.explode(again[F.col("combo")]).alias("key")).select("fp", F.col("key.mask").alias("combo"), F.col("key.bytes").alias("bytes")).distinct()
+    small = held.filter(F.col("n") <= list_limit).select("fp", F.col("combo").cast("long").alias("combo"), "bytes")
+    return small.unionByName(large).groupBy("combo", "bytes").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

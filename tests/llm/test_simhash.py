@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from strandline.llm import simhash as s
@@ -54,11 +55,12 @@ def near(seed, n):
     return out[:n]
 
 
-def test_links_and_components(spark):
+@pytest.mark.parametrize("limit", [20_000, 2])
+def test_links_and_components(spark, limit):
     fps = near(1, 400)
     signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(v,) for v in set(signed)], "fp long")
-    got = {r.node: r.root for r in s.components(s.links(df)).collect()}
+    got = {r.node: r.root for r in s.components(s.links(df, list_limit=limit)).collect()}
     want = plain_components(fps)
     same = {}
     for v, w in zip(signed, want):
