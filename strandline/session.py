@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,3 +19,14 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
     return df.checkpoint(eager=True)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """The session, whose Python workers find this package where the driver has it, whatever folder the driver was started in.
+
+    On a cluster that doesn't mount that folder ship the package, as with ``--py-files``.
+    """
+    root, found = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if root not in (paths := found.get("PYTHONPATH", "").split(os.pathsep)):
+        found["PYTHONPATH"] = os.pathsep.join(x for x in (*paths, root) if x)
+    return spark
