@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.session import importable
+
 #: ASCII white space: the only characters that separate words here.
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
 def small_batches(df: DataFrame) -> DataFrame:
     """The same frame; its session hands Python batches of 16 MB at most, so that long texts don't pile up in a worker."""
     key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
-    conf = df.sparkSession.conf
+    conf = importable(df.sparkSession).conf
     if int(re.sub(r"\D", "", conf.get(key)) or 0) > most or not conf.get(key).rstrip("bB").isdigit():
         conf.set(key, str(most))
     return df
