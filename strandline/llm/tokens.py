@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
@@ -27,10 +30,11 @@ class WordCache:
     """``encode`` gives little-endian unsigned 32-bit ids as bytes. Special tokens' strings count as ordinary text.
 
     Made for word-level BPE with word ends, where white space separates and is dropped. ``limit`` bounds the parts that
-    are kept; beyond it the cache starts anew.
+    are kept: at half of it a new generation begins, which takes over what is used again.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,12 +42,23 @@ class WordCache:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.limit, self.known = limit, {"": b""}
+        self.limit, self.known, self.before, self.words = limit, {"": b""}, {}, self._word_encoder(path)
+
+    @staticmethod
+    def _word_encoder(path: str):
+        """The same merges without the rules for text, and without a cache of its own: for words that need no rules."""
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        found = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix="</w>", fuse_unk=False))
+        found.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return found
 
     def _learn(self, parts: set[str]) -> None:
         simple = [w for w in parts if _ONE_WORD.fullmatch(w)]
         if simple:
-            ids = np.array(self.tokenizer.encode(" ".join(simple), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.words.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(simple):  # one word end for each
                 buffer, stops = ids.tobytes(), (stops * 4).tolist()
@@ -55,11 +70,15 @@ class WordCache:
             self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 64):
-            split = [_PARTS.findall(t.lower()) if _PLAIN.fullmatch(t) else t.translate(_SPACES).split(" ") for t in texts[i : i + 64]]
-            if len(self.known) > self.limit:
-                self.known = {"": b""}
-            if missing := set().union(*split).difference(self.known):
+        for i in range(0, len(texts), 256):
+            split = [_PARTS.findall(t.lower()) if _PLAIN.fullmatch(t) else t.translate(_SPACES).split(" ") for t in texts[i : i + 256]]
+            if len(self.known) > self.limit // 2:
+                self.before, self.known = self.known, {"": b""}
+            missing = set().union(*split).difference(self.known)
+            if again := missing & self.before.keys():
+                self.known.update((w, self.before[w]) for w in again)
+                missing -= again
+            if missing:
                 self._learn(missing)
             for parts in split:
                 yield b"".join(map(self.known.__getitem__, parts))
