@@ -183,124 +183,147 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the same for larger distances: near copies by their shingle sets -------------------------------------------------
 
-KEY_BITS, PROOF_BITS = 256, 512
 
-
-def _mixed(h: np.ndarray, bits: int) -> np.ndarray:
-    """Each 64-bit hash as ``bits`` bits, in rows of bytes."""
-    steps = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    z = h[:, None] + steps[None, :]
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (z ^ (z >> np.uint64(31))).view(np.uint8).reshape(len(h), -1)
-
-
-def signature(parts: list[bytes], words: int, bits: int) -> bytes:
-    """SimHash of the set of shingles, each counted once, so that the angle follows the overlap of the sets."""
+def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """The set of a text's shingles as sorted 64-bit hashes; a text of fewer words is one shingle."""
     import xxhash
 
     if not parts:
-        return bytes(bits // 8)
+        return np.empty(0, dtype=np.int64)
     joined, digest = b" ".join(parts), xxhash.xxh3_64_intdigest
     if len(parts) <= words:
-        hashes = np.array([digest(joined)], dtype=np.uint64)
-    else:
-        view, lengths = memoryview(joined), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(parts) - words + 1].tolist()
-        hashes = np.unique(np.array([digest(view[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist())], dtype=np.uint64))
-    counts = np.zeros(bits, dtype=np.int64)
-    for i in range(0, len(hashes), 255):  # no sum of so many bits leaves a byte
-        counts += np.add.reduce(np.unpackbits(_mixed(hashes[i : i + 255], bits), axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(hashes)).tobytes()
-
-
-def bits_apart(similarity: float, bits: int, slack: float = 2.0) -> int:
-    """How many bits may differ: what sets of that Jaccard similarity differ in on average, and ``slack`` standard deviations."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * angle + slack * np.sqrt(bits * angle * (1 - angle)))
+        return np.array([digest(joined)], dtype=np.uint64).view(np.int64)
+    view, lengths = memoryview(joined), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(parts) - words + 1].tolist()
+    return np.unique(np.array([digest(view[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist())], dtype=np.uint64).view(np.int64))
 
 
-def byte_combinations(n_bytes: int, width: int, count: int, seed: int = 7) -> list[list[int]]:
-    """``count`` fixed sets of ``width`` byte positions."""
-    order = np.random.RandomState(seed)
-    return [sorted(order.choice(n_bytes, width, replace=False).tolist()) for _ in range(count)]
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first shingles in the order (is it ``common``, hash): sets of that Jaccard similarity share one of these at least."""
+    n = int(len(hashes) - np.ceil(similarity * len(hashes) - 1e-9) + 1) if len(hashes) else 0
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.argsort(common[at] == hashes, kind="stable")]
+    return hashes[:n]
 
 
-def forest(nodes: np.ndarray, proofs: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges that connect what pairs within ``distance`` bits connect. What is reached isn't compared again."""
-    bits, left, edges = proofs.view(np.uint64), np.arange(len(nodes)), []
-    while len(left):
-        reach, left = left[:1], left[1:]
-        while len(reach) and len(left):
-            here, reach = reach[0], reach[1:]
-            near = np.bitwise_count(bits[left] ^ bits[here]).sum(axis=1, dtype=np.int64) <= distance
-            edges += [(int(nodes[here]), int(x)) for x in nodes[left[near]]]
-            reach, left = np.concatenate([reach, left[near]]), left[~near]
-    return edges
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, keys: int = 60, list_limit: int = 20_000) -> DataFrame:
-    """One row per input row: ``rid`` (its identity), doc_id, and ``first``: the identity that stays of its group.
-
-    Two fingerprints a text: 256 bits of its pairs of words, whose bytes at fixed sets of positions index it, and 512 bits of
-    its shingles of ``words`` words, which prove a link: it holds where they differ in no more bits than sets of the
-    given Jaccard similarity do, with two standard deviations for chance. A pair at a similarity of exactly 0.8 keeps a
-    byte of the first whole with a chance near 0.45, so it meets in one of 60 lists of three bytes with 0.99; copies
-    closer than that nearly surely. Lists get a byte more for each 256-fold of the corpus.
-
-    Texts with equal words (A-Z in any case) are one node. A list gives a spanning forest; one of more than
-    ``list_limit`` nodes is dealt to parts that all hold its smallest node, so no list has to fit a task. The group's
-    row with the smallest doc_id stays (null last, then by content). Texts without words are equal. Rows that repeat
-    have the same identity. An empty table gives an empty result.
-    """
+def _posted(docs: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """rid, doc_id, node (hash of the words), size (of the shingle set) and prefix of each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for got in batches:
-            nodes, index, proof, h1, h2 = [], [], [], [], []
+            nodes, sizes, prefixes, h1, h2 = [], [], [], [], []
             for text in got.column(1).cast(pa.binary()):
                 text = text.as_py() or b""
                 parts = text.translate(_LOWER).split()
-                joined = b" ".join(parts)
-                nodes.append(xxhash.xxh3_64_intdigest(joined))
-                index.append(signature(parts, 2, KEY_BITS))
-                proof.append(signature(parts, words, PROOF_BITS))
+                hashes = shingle_hashes(parts, words)
+                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(parts)))
+                sizes.append(len(hashes))
+                prefixes.append(prefix(hashes, similarity, common))
                 both = xxhash.xxh3_128_digest(text)
                 h1.append(int.from_bytes(both[:8], "big", signed=True))
                 h2.append(int.from_bytes(both[8:], "big", signed=True))
             if nodes:
-                columns = [got.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(h1), pa.array(h2), pa.array(index, type=pa.binary()), pa.array(proof, type=pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "h1", "h2", "index", "proof"])
-
-    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(run, "doc_id bigint, node bigint, h1 bigint, h2 bigint, index binary, proof binary")
-    each = cut(each.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2").alias("rid"), "doc_id", "node", "index", "proof"))
-    nodes = each.groupBy("node").agg(F.min("rid").alias("least"), F.first("index").alias("index"), F.first("proof").alias("proof"))
-    nodes = cut(nodes)
-    n, width = nodes.count(), 3
-    while n > 1 << (8 * width):
-        width += 1
-    combos = byte_combinations(KEY_BITS // 8, width, keys)
-    chosen = F.array(*[F.concat(*[F.substring("index", p + 1, 1) for p in combo]) for combo in combos])
-    postings = nodes.select("node", F.posexplode(chosen).alias("combo", "bytes")).select("node", F.xxhash64("combo", "bytes").alias("key"))
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("smallest")).filter("n > 1")
-    parts = F.ceil(F.col("n") / list_limit)
-    dealt = postings.join(lists, "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), parts))
-    # the smallest node of a list that is split goes to every part
-    everywhere = lists.filter(F.col("n") > list_limit).select("key", F.col("smallest").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    dealt = dealt.select("key", "node", "part").unionByName(everywhere).distinct()
-    limit = bits_apart(similarity, PROOF_BITS)
-
-    def link(key: tuple, rows: pa.Table) -> pa.Table:
-        ids = rows["node"].to_numpy()
-        order = np.argsort(ids)
-        proofs = np.frombuffer(b"".join(rows["proof"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
-        found = forest(ids[order], np.ascontiguousarray(proofs), limit)
-        return pa.table([pa.array([a for a, _ in found], type=pa.int64()), pa.array([b for _, b in found], type=pa.int64())], names=["a", "b"])
-
-    edges = dealt.join(nodes.select("node", "proof"), "node").groupBy("key", "part").applyInArrow(link, "a bigint, b bigint").distinct()
+                columns = [got.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(h1), pa.array(h2), pa.array(sizes, type=pa.int32()), pa.array(prefixes, type=pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "h1", "h2", "size", "prefix"])
+
+    found = docs.transform(small_batches).mapInArrow(run, "doc_id bigint, node bigint, h1 bigint, h2 bigint, size int, prefix array<bigint>")
+    return found.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2").alias("rid"), "doc_id", "node", "size", "prefix")
+
+
+def _proven(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets, made again from the texts of (doc_id, text), have that similarity."""
+
+    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for got in batches:
+            texts = [b" ".join((t.as_py() or b"").translate(_LOWER).split()) for t in got.column(1).cast(pa.binary())]
+            nodes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(texts, type=pa.binary())], names=["node", "text"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            sets = [shingle_hashes(t.as_py().split(), words) for t in got.column(1)]
+            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(sets, type=pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.mapInArrow(normal, "node bigint, text binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = cut(texts.mapInArrow(hashed, "node bigint, shingles array<bigint>"))
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}s"))
+    shared = F.size(F.array_intersect("as", "bs"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
+    return both.filter(F.col("shared") >= similarity * (F.size("as") + F.size("bs") - F.col("shared")) - 1e-9).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, list_limit: int = 20_000, common_limit: int = 1000) -> DataFrame:
+    """One row per input row: ``rid`` (its identity), doc_id, and ``first``: the identity that stays of its group.
+
+    Groups are the components of the pairs whose sets of ``words``-word shingles have the given Jaccard similarity or
+    more: all such pairs, and no others, up to collisions of 64-bit hashes. In any order of the shingles that all texts
+    share, the first fifth (at 0.8) of two such sets has a shingle in common, so an inverted index on these prefixes
+    misses none. The order is that of the hashes, but shingles in more than ``common_limit`` prefixes come last: a
+    passage that many texts share is indexed only where a text has little else.
+
+    First each text is compared with one hub, the smallest node of most of its lists, which joins large groups of copies
+    without their pairs. Then all pairs of a list that aren't joined yet are counted: sets that similar share so many
+    shingles of their prefixes at least that what lies behind can make up the rest. Those are proven on their shingles.
+    A list of more than ``list_limit`` nodes is compared in blocks, each part of it with all that isn't in its largest group.
+
+    Texts with equal words (A-Z in any case) are one node. The group's row with the smallest doc_id stays (null last,
+    then by content). Texts without words are equal. Rows that repeat have the same identity. An empty table gives an
+    empty result.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    common = np.empty(0, dtype=np.int64)
+    for last in (False, False, False, True):
+        each = cut(_posted(texts, words, similarity, common))
+        nodes = each.groupBy("node").agg(F.min("rid").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+        nodes = cut(nodes)
+        postings = nodes.select("node", "size", F.explode("prefix").alias("key"))
+        lists = cut(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1"))
+        # more than the limit in the order so far; the order changes the cost, not the result
+        frequent = [] if last else [r.key for r in lists.filter(F.col("n") > common_limit).select("key").toLocalIterator()]
+        after = np.union1d(common, np.array(frequent, dtype=np.int64))
+        if len(after) == len(common):
+            break
+        common = after
+    held = cut(postings.join(lists, "key"))
+    size = nodes.select("node", "size")
+    kept = lambda n: n - F.ceil(similarity * n - 1e-9) + 1
+
+    def enough(n: Column, m: Column, c: Column) -> Column:
+        """Whether sets of ``n`` and ``m`` shingles with ``c`` in common in their prefixes can be similar."""
+        return c >= F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9) - F.greatest(n - kept(n), m - kept(m))
+
+    near = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+    # each node with one hub
+    hubs = held.filter("node <> hub").groupBy("node", "hub", "size").agg(F.count(F.lit(1)).alias("c"))
+    hubs = hubs.join(size.toDF("hub", "hub_size"), "hub").filter(near(F.col("size"), F.col("hub_size")) & enough(F.col("size"), F.col("hub_size"), F.col("c")))
+    hubs = cut(hubs.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("b")).select(F.col("node").alias("a"), "b"))
+    edges = cut(_proven(hubs, texts, words, similarity))
     roots = components(edges)
+
+    # then all pairs of a list that are in different groups: at least one of a pair isn't in the list's largest
+    rooted = held.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = cut(rooted)
+    groups = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    groups = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).filter("roots > 1")
+    parts = F.ceil(F.col("n") / list_limit)
+    members = rooted.join(groups, "key").withColumn("other", F.col("root") != F.col("largest"))
+    left = members.filter("other").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
+    right = members.select("key", F.pmod(F.xxhash64("node"), parts).alias("part"), F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"), "other")
+    met = left.join(right, ["key", "part"]).filter((F.col("a_root") != F.col("b_root")) & (~F.col("other") | (F.col("a") < F.col("b"))) & near(F.col("a_size"), F.col("b_size")))
+    # which of the two is in the largest group differs by list
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_size", "b_size").alias("n"), F.greatest("a_size", "b_size").alias("m")]
+    counted = met.select(*pair).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c")).filter(enough(F.col("n"), F.col("m"), F.col("c")))
+    more = cut(_proven(cut(counted.select("a", "b")), texts, words, similarity))
+    if not more.isEmpty():
+        roots = components(edges.unionByName(more))
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("first"))
     return each.select("rid", "doc_id", "node").join(rooted.join(named, "root").select("node", "first"), "node").select("rid", "doc_id", "first")

@@ -70,6 +70,37 @@ def test_lists_that_are_split(spark):
     assert len({got[i] for i in range(60)}) == 1 and all(got[100 + i] == 100 + i for i in range(20))
 
 
+def groups_of(rows, limit=0.8):
+    """Components of all pairs at the limit or more, by brute force."""
+    sets, parent = [shingles(t) for _, t, *_ in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= limit * len(sets[i] | sets[j]) - 1e-9:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("options", [{"list_limit": 3}, {"list_limit": 3, "common_limit": 20}])
+def test_large_lists_compare_every_pair(spark, options):
+    """A template family of unlike texts with pairs of near copies among them: lists are far over their limit."""
+    r = random.Random(11)
+    frame, rows = prose(r, 160).split(), []
+    for i in range(70):
+        own = prose(r, 40).split()
+        rows.append((2 * i, " ".join(frame + own), "en", "s", 1))
+        rows.append((2 * i + 1, " ".join(frame[:-1] + own + ["end"]), "en", "s", 1))
+    got = {x.doc_id: x["first"].doc_id for x in similar_documents(spark.createDataFrame(rows, COLUMNS), **options).collect()}
+    want = groups_of(rows)
+    assert len(set(want.values())) == 70 and got == want
+
+
 def test_odd_rows(spark):
     docs = clashing(tricky(spark), ["rid", "first", "node"])
     kept = keep_one_of_each(docs).collect()
