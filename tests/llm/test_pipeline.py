@@ -101,6 +101,18 @@ def test_large_lists_compare_every_pair(spark, options):
     assert len(set(want.values())) == 70 and got == want
 
 
+def test_copies_with_a_stretch_cut_off(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(150):
+        words = prose(r, r.randrange(100, 300)).split()
+        n = len(words) - 4
+        keep = -(-4 * n // 5) + 4  # a similarity of just 0.8
+        rows += [(2 * i, " ".join(words), "en", "s", 1), (2 * i + 1, " ".join(words[:keep] if i % 2 else words[-keep:]), "en", "s", 1)]
+    got = {x.doc_id: x["first"].doc_id for x in similar_documents(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(150))
+
+
 def test_odd_rows(spark):
     docs = clashing(tricky(spark), ["rid", "first", "node"])
     kept = keep_one_of_each(docs).collect()
