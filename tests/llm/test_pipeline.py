@@ -113,6 +113,16 @@ def test_copies_with_a_stretch_cut_off(spark):
     assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(150))
 
 
+def test_texts_below_the_limit_stay(spark):
+    r = random.Random(13)
+    rows = []
+    for i in range(150):
+        words = prose(r, 300).split()
+        rows += [(2 * i, " ".join(words), "en", "s", 1), (2 * i + 1, " ".join(words[: r.randrange(210, 236)]), "en", "s", 1)]
+    got = {x.doc_id: x["first"].doc_id for x in similar_documents(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == groups_of(rows) and all(got[i] == i for i in got)
+
+
 def test_odd_rows(spark):
     docs = clashing(tricky(spark), ["rid", "first", "node"])
     kept = keep_one_of_each(docs).collect()
