@@ -137,7 +137,7 @@ def decoded(body: bytes, content_type: str | None) -> str:
 
 #: A comment, an element whose text isn't shown, a declaration or a tag; unquoted parts of a tag can't hold "<".
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b(?:[^<>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*+>.*?(?:</\1\s*>|\Z)|<[!?][^<>]*>|</?([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*+)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<[!?][^<>]*>|</?([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
 # Elements that begin a line of their own.

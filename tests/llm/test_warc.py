@@ -38,6 +38,14 @@ def test_text_and_links():
     assert w.plain_text("") == "" and w.plain_text("<a href=\"x" * 5000).startswith("<a")
 
 
+def test_long_attribute_values():
+    data = "data:image/png;base64," + "QUJD" * 50_000
+    page = f"""<p>one<img src="{data}">two<a title='{data}' href=/x>three</a><script src="{data}">var t;</script><p>four"""
+    assert w.plain_text(page) == "onetwothree\nfour"
+    assert [x["path"] for x in w.page_links(page, "http://h.example/")] == ["IMG@/src", "A@/href"]
+    assert w.plain_text("<a href='" + "x" * 300_000).startswith("<a")
+
+
 def test_http():
     body = b"5\r\nhello\r\n6;x=y\r\n world\r\n0\r\n\r\n"
     assert w.http_parts(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + body)[2] == b"hello world"
