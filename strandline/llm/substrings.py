@@ -24,17 +24,18 @@ LEAST_WORDS, LONG_WORDS, CUT, MOST_WORDS = 5, 24, 8, 48
 def units(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, str]]:
     """(start, end, words, normal form) of the units of a text, in code points, the end exclusive.
 
-    Units end at line ends and after sentences of ``least_words`` words or more; shorter ones join what follows in the
-    line. A sentence of over 24 words is cut after words whose checksum is a multiple of 8,
+    Units end after sentences and lines of ``least_words`` words or more; shorter ones join what follows, across line
+    ends too. A run of short lines is cut after lines with an even checksum, and every 24 words at least, once it has
+    ``least_words``. So only the last unit of a text can be shorter. A sentence of over 24 words is cut after words whose checksum is a multiple of 8,
     and every 48 words at least. So where a unit ends depends
     on the words just before, and two copies of a passage fall into step after its first boundary wherever they stand.
     The normal form is the words in lower case (A-Z), joined by one space.
     """
     out, at, n = [], 0, len(text)
+    held: list[tuple[int, int, str]] = []
     while at <= n:
-        line_end = text.find("\n", at)
+        line_start, line_end = at, text.find("\n", at)
         line_end = n if line_end < 0 else line_end
-        held: list[tuple[int, int, str]] = []
         while at < line_end:
             stop = max(_SENTENCE.match(text, at, line_end).end(), at + 1)
             part = text[at:stop].translate(_LOWER)
@@ -59,9 +60,14 @@ def units(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int
                         out.append(_unit(held))
                         held = []
             at = stop
-        if held:
-            out.append(_unit(held))
+        if len(held) >= least_words:
+            own = [w for start, _, w in held if start >= line_start]
+            if len(own) >= least_words or len(held) >= LONG_WORDS or (own and zlib.crc32(" ".join(own).encode("utf-8", "surrogatepass")) % 2 == 0):
+                out.append(_unit(held))
+                held = []
         at = line_end + 1
+    if held:
+        out.append(_unit(held))
     return out
 
 

@@ -61,6 +61,21 @@ def test_long_passages_are_found_wherever_they_stand(spark):
         assert x.first_doc_id == 10 * i and text[x.start : x.end] in p and x.n_words > 0.6 * len(p.split())
 
 
+def test_passages_in_short_lines(spark):
+    r = random.Random(8)
+    words = lambda n: sentence(r, n).rstrip(".!?")
+    verse = lambda: "\n".join(words(r.randrange(1, 5)) for _ in range(40))
+    mixed = lambda: "\n".join(words(r.randrange(6, 12) if k % 2 else r.randrange(1, 4)) for k in range(20))
+    rows = []
+    for i in range(20):
+        p = (verse if i % 2 else mixed)()
+        rows += [(10 * i, f"{verse()}\n{p}\n{mixed()}"), (10 * i + 1, f"{words(3)}\n{p}\n{verse()}")]
+    gone = defaultdict(int)
+    for x in s.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        gone[x.doc_id] += x.n_words
+    assert set(gone) == {10 * i + 1 for i in range(20)} and all(n >= 40 for n in gone.values())
+
+
 def test_units_cover_their_text():
     for text in ["", "\n\n", "One. Two! a.b c", "a b c d e f. g", "x\x1cy z w v u t.", "ü " * 60, " lead and trail with  gaps \t.  ", "1.5 is not. a stop? " * 9, "no end " * 40]:
         last = 0
