@@ -20,6 +20,26 @@ _ONE_WORD = re.compile("[a-zß-öø-ÿ]+|[!-&(-/:-@\\[-`{-~]+")
 _SPACES = {9: 32, 10: 32, 13: 32}
 
 
+#: The rules of the vocabulary file for which words may be learned one by one. Others encode each text as a whole.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def known_rules(rules: dict) -> bool:
+    """Whether white space separates and is dropped, words are encoded alone, and added tokens are found in the raw text only."""
+    plain = all(not t.get(k) for t in rules.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return plain and all(rules.get(k) == v for k, v in _RULES.items()) and all(rules["model"].get(k) == v for k, v in _MODEL.items()) and not rules.get("truncation")
+
+
 @lru_cache(maxsize=1)
 def word_cache(path: str) -> WordCache:
     """One for all tasks that a Python worker runs, so that tables are loaded and words learned once."""
@@ -27,10 +47,11 @@ def word_cache(path: str) -> WordCache:
 
 
 class WordCache:
-    """``encode`` gives little-endian unsigned 32-bit ids as bytes. Special tokens' strings count as ordinary text.
+    """``encode`` gives little-endian unsigned 32-bit ids as bytes: those that the tokenizer gives each whole text, no special tokens added.
 
-    Made for word-level BPE with word ends, where white space separates and is dropped. ``limit`` bounds the parts that
-    are kept: at half of it a new generation begins, which takes over what is used again.
+    Made for word-level BPE with word ends, where white space separates and is dropped; a vocabulary file with other
+    rules, and a text that holds the string of an added token, go to the tokenizer as they are. ``limit`` bounds the
+    parts that are kept: at half of it a new generation begins, which takes over what is used again.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -38,18 +59,23 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.no_truncation()
+        rules = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.by_words = known_rules(rules)
+        contents = [t["content"] for t in rules.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, contents)) if contents else r"(?!)")
+        if not self.by_words:
+            return
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.limit, self.known, self.before, self.words = limit, {"": b""}, {}, self._word_encoder(path)
+        self.limit, self.known, self.before, self.words = limit, {"": b""}, {}, self._word_encoder(rules["model"])
 
     @staticmethod
-    def _word_encoder(path: str):
+    def _word_encoder(model: dict):
         """The same merges without the rules for text, and without a cache of its own: for words that need no rules."""
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         found = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix="</w>", fuse_unk=False))
         found.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -67,18 +93,25 @@ class WordCache:
                 simple = []
         rest = parts.difference(simple) if simple else parts
         for w in rest:
-            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.known[w] = self.whole(w)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
+        if not self.by_words:
+            yield from map(self.whole, texts)
+            return
         for i in range(0, len(texts), 256):
-            split = [_PARTS.findall(t.lower()) if _PLAIN.fullmatch(t) else t.translate(_SPACES).split(" ") for t in texts[i : i + 256]]
+            # None: to be encoded as a whole
+            split = [None if self.added.search(t) else _PARTS.findall(t.lower()) if _PLAIN.fullmatch(t) else t.translate(_SPACES).split(" ") for t in texts[i : i + 256]]
             if len(self.known) > self.limit // 2:
                 self.before, self.known = self.known, {"": b""}
-            missing = set().union(*split).difference(self.known)
+            missing = set().union(*filter(None, split)).difference(self.known)
             if again := missing & self.before.keys():
                 self.known.update((w, self.before[w]) for w in again)
                 missing -= again
             if missing:
                 self._learn(missing)
-            for parts in split:
-                yield b"".join(map(self.known.__getitem__, parts))
+            for text, parts in zip(texts[i : i + 256], split):
+                yield self.whole(text) if parts is None else b"".join(map(self.known.__getitem__, parts))

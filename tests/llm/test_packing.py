@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -62,17 +63,33 @@ def test_best_fit_is_best_fit():
 @pytest.mark.parametrize("limit", [300_000, 5])
 def test_cached_ids_equal_the_tokenizers(limit):
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     r = random.Random(3)
-    bits = ["Hello", "WORLD", "naïve", "É", "ÀB", "it's", "I'LL", "'", "...", "##", "12", "a1b2", "Σς", "İ", "\U0001f600", "é", "́", "ﬁ", "<|endoftext|>", "日本", "x", "_", "×", "÷", "ª", "\x85", "\xa0", "　", "\x1c", "﻿", "‍", "!", "¿", "ÿ", "ß"]
+    bits = ["Hello", "WORLD", "naïve", "É", "ÀB", "it's", "I'LL", "'", "...", "##", "12", "a1b2", "Σς", "İ", "<|startoftext|>", "<|ENDOFTEXT|>", "\U0001f600", "é", "́", "ﬁ", "<|endoftext|>", "日本", "x", "_", "×", "÷", "ª", "\x85", "\xa0", "　", "\x1c", "﻿", "‍", "!", "¿", "ÿ", "ß"]
     texts = ["".join(r.choice(bits) + r.choice(["", "", " ", "\n", "\t", "\r\n", "  "]) for _ in range(r.randrange(30))) for _ in range(600)] + ["", " ", "a" * 3000]
     for text, got in zip(texts, WordCache(PATH, limit).encode(texts), strict=True):
         assert np.frombuffer(got, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_other_vocabularies_are_encoded_as_they_are(tmp_path):
+    """Rules that the word cache wasn't made for: cased words, and a token that is found after the normaliser."""
+    r = random.Random(5)
+    texts = ["".join(r.choice(["Hello ", "WORLD", "it's ", "\n", "  ", "[pad]", "12 "]) for _ in range(20)) for _ in range(50)]
+    rules = json.loads(open(PATH, encoding="utf-8").read())
+    cased = rules | {"normalizer": {"type": "NFC"}}
+    late = rules | {"added_tokens": [*rules["added_tokens"], {"id": 49408, "content": "[pad]", "single_word": False, "lstrip": True, "rstrip": False, "normalized": True, "special": False}]}
+    for k, other in enumerate((cased, late)):
+        path = f"{tmp_path}/{k}.json"
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(other, f)
+        plain = Tokenizer.from_file(path)
+        words = WordCache(path)
+        assert not words.by_words
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in words.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert WordCache(PATH).by_words
+
+
 def check(docs, found, capacity, end_id=1):
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for x in found:
         by_doc[x.doc_id].append(x)
