@@ -181,117 +181,205 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# --- the same for larger distances: near copies by their shingle sets -------------------------------------------------
+# --- the same at a Jaccard similarity: an inverted index on shingles instead of bytes ---------------------------------
 
+_UNIT, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)  # odd, otherwise arbitrary
+#: Cells of the sketch that finds frequent shingles, and bits of the map that tells which texts are to be proven.
+SKETCH_BITS, CHUNK_BITS, MAP_BITS = 20, 14, 26
 
-def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
-    """The set of a text's shingles as sorted 64-bit hashes; a text of fewer words is one shingle."""
+
+def all_shingles(parts: list[bytes], words: int) -> np.ndarray:
+    """The 64-bit hash of each run of ``words`` words, in order; a text of fewer words is one shingle."""
     import xxhash
 
     if not parts:
-        return np.empty(0, dtype=np.int64)
-    joined, digest = b" ".join(parts), xxhash.xxh3_64_intdigest
-    if len(parts) <= words:
-        return np.array([digest(joined)], dtype=np.uint64).view(np.int64)
-    view, lengths = memoryview(joined), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(parts) - words + 1].tolist()
-    return np.unique(np.array([digest(view[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist())], dtype=np.uint64).view(np.int64))
+        return np.empty(0, dtype=np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), dtype=np.uint64, count=len(parts))
+    n = min(words, len(parts))
+    out = np.zeros(len(h) - n + 1, dtype=np.uint64)
+    for k in range(n):
+        out = out * _STEP + h[k : len(h) - n + 1 + k]
+    out ^= out >> np.uint64(31)
+    out *= _UNIT
+    return out ^ (out >> np.uint64(29))
+
+
+def shingle_set(parts: list[bytes], words: int) -> np.ndarray:
+    return np.unique(all_shingles(parts, words))
+
+
+def normal_words(text: bytes) -> list[bytes]:
+    return text.translate(_LOWER).split()  # bytes split at ASCII white space only
+
+
+def frequent_cells(docs: DataFrame, words: int, above: int) -> np.ndarray:
+    """Which cells of a sketch of all shingles of (doc_id, text) hold over four times the mean and ``above``, as booleans.
+
+    Each task counts in an array of fixed size; the arrays are added in two steps, so that no task gets many, and 4 MB
+    reach the driver whatever the corpus.
+    """
+    chunks = 1 << (SKETCH_BITS - CHUNK_BITS)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """The first shingles in the order (is it ``common``, hash): sets of that Jaccard similarity share one of these at least."""
+        cells, held, waiting = np.zeros(1 << SKETCH_BITS, dtype=np.int64), [], 0
+        for got in batches:
+            for text in got.column(1).cast(pa.binary()):
+                held.append(all_shingles(normal_words(text.as_py() or b""), words) >> np.uint64(64 - SKETCH_BITS))
+                waiting += len(held[-1])
+                if waiting > 1 << 20:  # counted by the million, so that few wait
+                    cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(cells))
+                    held, waiting = [], 0
+        if held:
+            cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(cells))
+        if cells.any():
+            task = TaskContext.get().partitionId()
+            rows = [cells[i << CHUNK_BITS : (i + 1) << CHUNK_BITS] for i in range(chunks)]
+            yield pa.RecordBatch.from_arrays([pa.array([task // 64] * chunks), pa.array(range(chunks)), pa.array([r.tobytes() for r in rows], type=pa.binary())], names=["part", "chunk", "counts"])
+
+    def added(key: tuple, rows: pa.Table) -> pa.Table:
+        total = sum((np.frombuffer(r.as_py(), dtype=np.int64) for r in rows["counts"]), np.zeros(1 << CHUNK_BITS, dtype=np.int64))
+        return pa.table([pa.array([0]), rows["chunk"][:1], pa.array([total.tobytes()], type=pa.binary())], names=["part", "chunk", "counts"])
+
+    schema = "part bigint, chunk bigint, counts binary"
+    once = docs.transform(small_batches).mapInArrow(count, schema).groupBy("part", "chunk").applyInArrow(added, schema)
+    cells = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    for r in once.groupBy("chunk").applyInArrow(added, schema).collect():
+        cells[r.chunk << CHUNK_BITS : (r.chunk + 1) << CHUNK_BITS] = np.frombuffer(r.counts, dtype=np.int64)
+    return cells > above + 4 * cells.mean()
+
+
+def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles in the order (is its cell ``frequent``, hash): sets of that Jaccard similarity share one of these at least."""
     n = int(len(hashes) - np.ceil(similarity * len(hashes) - 1e-9) + 1) if len(hashes) else 0
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        hashes = hashes[np.argsort(common[at] == hashes, kind="stable")]
-    return hashes[:n]
+    last = frequent[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    return np.concatenate([hashes[~last], hashes[last]])[:n]
+
+
+def _halves(text: bytes) -> tuple[int, int]:
+    import xxhash
+
+    both = xxhash.xxh3_128_digest(text)
+    return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
+
+
+def _place(doc_id: int | None, h1: int) -> int:
+    """Of a row in the map of ``MAP_BITS`` bits."""
+    return ((h1 ^ (doc_id or 0) * int(_STEP)) & (1 << 64) - 1) >> 64 - MAP_BITS
+
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *arrays]).view(np.int64)))
 
-def _posted(docs: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """rid, doc_id, node (hash of the words), size (of the shingle set) and prefix of each row of (doc_id, text)."""
+
+def _posted(docs: DataFrame, words: int, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """rid, place (see ``_place``), node (hash of the words), size (of the shingle set) and prefix of each row of (doc_id, text)."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        cells = np.unpackbits(sent.value).astype(bool)
         for got in batches:
-            nodes, sizes, prefixes, h1, h2 = [], [], [], [], []
-            for text in got.column(1).cast(pa.binary()):
+            nodes, sizes, prefixes, h1, h2, places = [], [], [], [], [], []
+            for ident, text in zip(got.column(0).to_pylist(), got.column(1).cast(pa.binary())):
                 text = text.as_py() or b""
-                parts = text.translate(_LOWER).split()
-                hashes = shingle_hashes(parts, words)
+                parts = normal_words(text)
+                hashes = shingle_set(parts, words)
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(parts)))
                 sizes.append(len(hashes))
-                prefixes.append(prefix(hashes, similarity, common))
-                both = xxhash.xxh3_128_digest(text)
-                h1.append(int.from_bytes(both[:8], "big", signed=True))
-                h2.append(int.from_bytes(both[8:], "big", signed=True))
+                prefixes.append(prefix(hashes, similarity, cells))
+                a, b = _halves(text)
+                h1.append(a)
+                h2.append(b)
+                places.append(_place(ident, a))
             if nodes:
-                columns = [got.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(h1), pa.array(h2), pa.array(sizes, type=pa.int32()), pa.array(prefixes, type=pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "h1", "h2", "size", "prefix"])
+                columns = [got.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(h1), pa.array(h2), pa.array(places, type=pa.int32()), pa.array(sizes, type=pa.int32()), _lists(prefixes)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "h1", "h2", "place", "size", "prefix"])
 
-    found = docs.transform(small_batches).mapInArrow(run, "doc_id bigint, node bigint, h1 bigint, h2 bigint, size int, prefix array<bigint>")
-    return found.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2").alias("rid"), "doc_id", "node", "size", "prefix")
+    found = docs.transform(small_batches).mapInArrow(run, "doc_id bigint, node bigint, h1 bigint, h2 bigint, place int, size int, prefix array<bigint>")
+    return found.select(_rid(), "place", "node", "size", "prefix")
 
 
-def _proven(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets, made again from the texts of (doc_id, text), have that similarity."""
+def _rid() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2").alias("rid")
 
-    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        for got in batches:
-            texts = [b" ".join((t.as_py() or b"").translate(_LOWER).split()) for t in got.column(1).cast(pa.binary())]
-            nodes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(texts, type=pa.binary())], names=["node", "text"])
+def _map_of(rows: DataFrame) -> np.ndarray:
+    """A map of ``MAP_BITS`` bits, 8 MB, in which those of the rows' places are set; as many bytes at most reach the driver."""
+    place = F.col("place")
+    found = rows.groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place % 8 + 1)).alias("bits")).toArrow()
+    marks = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
+    marks[found["byte"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
+    return marks
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in batches:
-            sets = [shingle_hashes(t.as_py().split(), words) for t in got.column(1)]
-            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(sets, type=pa.list_(pa.int64()))], names=["node", "shingles"])
 
+def _sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node and shingles (its set, sorted) of the nodes of ``wanted`` (node, rid, place): made again from the texts of the rows named.
+
+    A map of fixed size tells a scan of (doc_id, text) which rows may be wanted, so that few others are hashed and exchanged.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_map_of(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        marks = sent.value
+        for got in batches:
+            rows = []
+            for ident, text in zip(got.column(0).to_pylist(), got.column(1).cast(pa.binary())):
+                text = text.as_py() or b""
+                a, b = _halves(text)
+                place = _place(ident, a)
+                if marks[place >> 3] >> (place & 7) & 1:
+                    parts = normal_words(text)
+                    rows.append((ident, a, b, xxhash.xxh3_64_intdigest(b" ".join(parts)), shingle_set(parts, words)))
+            if rows:
+                ids, a, b, nodes, sets = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), _lists(sets)], names=["doc_id", "h1", "h2", "node", "shingles"])
+
+    found = docs.transform(small_batches).mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, node bigint, shingles array<bigint>").select("node", _rid(), "shingles")
+    named = wanted.select("node", F.col("rid").alias("named"))
+    return found.join(named, "node").filter(F.col("rid") == F.col("named")).groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _proven(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets have that similarity. ``nodes``: node, the least rid, its place."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.mapInArrow(normal, "node bigint, text binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = cut(texts.mapInArrow(hashed, "node bigint, shingles array<bigint>"))
+    sets = cut(_sets_of(cut(nodes.select("node", F.col("least").alias("rid"), "place").join(wanted, "node")), docs, words))
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}s"))
     shared = F.size(F.array_intersect("as", "bs"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
     return both.filter(F.col("shared") >= similarity * (F.size("as") + F.size("bs") - F.col("shared")) - 1e-9).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, list_limit: int = 20_000, common_limit: int = 1000) -> DataFrame:
-    """One row per input row: ``rid`` (its identity), doc_id, and ``first``: the identity that stays of its group.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, list_limit: int = 20_000, above: int = 256) -> DataFrame:
+    """One row per input row: ``rid`` (its identity), ``place`` (see ``_place``), doc_id, and ``first``: the identity that stays of its group.
 
     Groups are the components of the pairs whose sets of ``words``-word shingles have the given Jaccard similarity or
     more: all such pairs, and no others, up to collisions of 64-bit hashes. In any order of the shingles that all texts
     share, the first fifth (at 0.8) of two such sets has a shingle in common, so an inverted index on these prefixes
-    misses none. The order is that of the hashes, but shingles in more than ``common_limit`` prefixes come last: a
-    passage that many texts share is indexed only where a text has little else.
+    misses none. The order is that of the hashes, but shingles in cells of a sketch that hold far more than the mean (``above`` and four times it) come
+    last: a passage that many texts share is indexed only where a text has little else. The order changes the cost only.
 
     First each text is compared with one hub, the smallest node of most of its lists, which joins large groups of copies
-    without their pairs. Then all pairs of a list that aren't joined yet are counted: sets that similar share so many
-    shingles of their prefixes at least that what lies behind can make up the rest. Those are proven on their shingles.
-    A list of more than ``list_limit`` nodes is compared in blocks, each part of it with all that isn't in its largest group.
+    without their pairs. Then all pairs of a list that aren't joined yet are tallied: sets that similar share so many
+    shingles of their prefixes at least that what lies behind can make up the rest. Those that reach this minimum are
+    proven on their whole sets. A list of more than ``list_limit`` nodes is compared in blocks, each part of it with all
+    that isn't in its largest group.
 
     Texts with equal words (A-Z in any case) are one node. The group's row with the smallest doc_id stays (null last,
     then by content). Texts without words are equal. Rows that repeat have the same identity. An empty table gives an
     empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    common = np.empty(0, dtype=np.int64)
-    for last in (False, False, False, True):
-        each = cut(_posted(texts, words, similarity, common))
-        nodes = each.groupBy("node").agg(F.min("rid").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-        nodes = cut(nodes)
-        postings = nodes.select("node", "size", F.explode("prefix").alias("key"))
-        lists = cut(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1"))
-        # more than the limit in the order so far; the order changes the cost, not the result
-        frequent = [] if last else [r.key for r in lists.filter(F.col("n") > common_limit).select("key").toLocalIterator()]
-        after = np.union1d(common, np.array(frequent, dtype=np.int64))
-        if len(after) == len(common):
-            break
-        common = after
-    held = cut(postings.join(lists, "key"))
+    each = cut(_posted(texts, words, similarity, frequent_cells(texts, words, above)))
+    nodes = cut(each.groupBy("node").agg(F.min("rid").alias("least"), F.min_by("place", "rid").alias("place"), F.first("size").alias("size")))
+    postings = each.select("node", F.explode("prefix").alias("key"))
+    lists = postings.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub")
+    held = cut(postings.join(lists, "key").groupBy("key", "node").agg(F.first("hub").alias("hub")))
     size = nodes.select("node", "size")
     kept = lambda n: n - F.ceil(similarity * n - 1e-9) + 1
 
@@ -302,51 +390,58 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
     # each node with one hub
-    hubs = held.filter("node <> hub").groupBy("node", "hub", "size").agg(F.count(F.lit(1)).alias("c"))
-    hubs = hubs.join(size.toDF("hub", "hub_size"), "hub").filter(near(F.col("size"), F.col("hub_size")) & enough(F.col("size"), F.col("hub_size"), F.col("c")))
+    hubs = held.filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).join(size, "node").join(size.toDF("hub", "hub_size"), "hub")
+    hubs = hubs.filter(near(F.col("size"), F.col("hub_size")) & enough(F.col("size"), F.col("hub_size"), F.col("c")))
     hubs = cut(hubs.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("b")).select(F.col("node").alias("a"), "b"))
-    edges = cut(_proven(hubs, texts, words, similarity))
+    edges = cut(_proven(hubs, nodes, texts, words, similarity))
     roots = components(edges)
 
     # then all pairs of a list that are in different groups: at least one of a pair isn't in the list's largest
-    rooted = held.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    rooted = cut(rooted)
+    rooted = nodes.select("node", "size").join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = cut(held.select("key", "node").join(rooted, "node"))
     groups = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
     groups = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).filter("roots > 1")
     parts = F.ceil(F.col("n") / list_limit)
-    members = rooted.join(groups, "key").withColumn("other", F.col("root") != F.col("largest"))
+    members = cut(rooted.join(groups, "key").withColumn("other", F.col("root") != F.col("largest")))
     left = members.filter("other").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
     right = members.select("key", F.pmod(F.xxhash64("node"), parts).alias("part"), F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"), "other")
     met = left.join(right, ["key", "part"]).filter((F.col("a_root") != F.col("b_root")) & (~F.col("other") | (F.col("a") < F.col("b"))) & near(F.col("a_size"), F.col("b_size")))
     # which of the two is in the largest group differs by list
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_size", "b_size").alias("n"), F.greatest("a_size", "b_size").alias("m")]
     counted = met.select(*pair).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c")).filter(enough(F.col("n"), F.col("m"), F.col("c")))
-    more = cut(_proven(cut(counted.select("a", "b")), texts, words, similarity))
+    more = cut(_proven(cut(counted.select("a", "b")), nodes, texts, words, similarity))
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    return each.select("rid", "doc_id", "node").join(rooted.join(named, "root").select("node", "first"), "node").select("rid", "doc_id", "first")
+    return each.select("rid", "place", "node").join(rooted.join(named, "root").select("node", "first"), "node").select("rid", "place", F.col("rid.doc_id").alias("doc_id"), "first")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with all columns, that stay when of each group of near copies the first is kept."""
-    found = cut(similar_documents(docs, id_col, text_col, **options).select("rid", "first"))
-    first = found.filter(F.col("rid") == F.col("first")).groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
+    """The rows of ``docs``, with all columns, that stay when of each group of near copies the first is kept.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    Null texts are empty, and of those one row stays; of rows that repeat one stays; ties of doc_id go by content; an
+    empty table stays empty. Only rows that may have to go are exchanged: a map of fixed size tells which.
+    """
+    found = similar_documents(docs, id_col, text_col, **options).select("rid", "place", "first")
+    found = found.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.first("place").alias("place"), F.first("first").alias("first"))
+    doubtful = cut(found.filter((F.col("rid") != F.col("first")) | (F.col("n") > 1)).select("rid", "place", (F.col("rid") == F.col("first")).alias("stays")))
+    sent = docs.sparkSession.sparkContext.broadcast(_map_of(doubtful))
+    at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
+    h1, h2, flag = (f"{'_' * 9}{x}{max(docs.columns, key=len)}" for x in ("h1", "h2", "flag"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = sent.value
         for got in batches:
-            both = [xxhash.xxh3_128_digest(t.as_py() or b"") for t in got.column(at).cast(pa.binary())]
-            halves = [pa.array([int.from_bytes(x[s : s + 8], "big", signed=True) for x in both], type=pa.int64()) for s in (0, 8)]
-            yield pa.RecordBatch.from_arrays([*got.columns, *halves], names=[*got.schema.names, h1, h2])
-
-    at, (h1, h2) = docs.columns.index(text_col), [f"{'_' * 9}h{i}{max(docs.columns, key=len)}" for i in (1, 2)]
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{h1}` bigint, `{h2}` bigint"
-    hashed = docs.transform(small_batches).mapInArrow(run, schema)
+            both = [_halves(t.as_py() or b"") for t in got.column(at_text).cast(pa.binary())]
+            places = [_place(i, a) for i, (a, _) in zip(got.column(at_id).cast(pa.int64()).to_pylist(), both)]
+            added = [pa.array([x[i] for x in both], type=pa.int64()) for i in (0, 1)]
+            added.append(pa.array([bool(marks[x >> 3] >> (x & 7) & 1) for x in places], type=pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*got.columns, *added], names=[*got.schema.names, h1, h2, flag])
+
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{h1}` bigint, `{h2}` bigint, `{flag}` boolean"
+    rows = docs.transform(small_batches).mapInArrow(run, schema)
     ident = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("doc_id"), F.col(h1).alias("h1"), F.col(h2).alias("h2"))
-    rows = hashed.select(F.struct(*[hashed[c] for c in docs.columns]).alias("row"), ident.alias("rid"))
-    if not first.filter("n > 1").isEmpty():
-        rows = rows.groupBy("rid").agg(F.first("row").alias("row"))
-    return rows.join(first.select("rid"), "rid", "left_semi").select("row.*")
+    asked = rows.filter(F.col(flag)).select(F.struct(*[rows[c] for c in docs.columns]).alias("row"), ident.alias("rid")).join(doubtful.select("rid", "stays"), "rid", "left")
+    again = asked.filter("coalesce(stays, true)").groupBy("rid").agg(F.first("row").alias("row"))
+    return rows.filter(~F.col(flag)).select(docs.columns).unionByName(again.select("row.*"))

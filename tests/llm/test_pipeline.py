@@ -87,7 +87,7 @@ def groups_of(rows, limit=0.8):
     return {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("options", [{"list_limit": 3}, {"list_limit": 3, "common_limit": 20}])
+@pytest.mark.parametrize("options", [{"list_limit": 3}, {"list_limit": 3, "above": 20}])
 def test_large_lists_compare_every_pair(spark, options):
     """A template family of unlike texts with pairs of near copies among them: lists are far over their limit."""
     r = random.Random(11)
