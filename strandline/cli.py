@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.plans import commands as c
 from strandline.plans.model import ATTRIBUTE, SKIPPED, Annotation, BadAnnotation, build_index, missing_tables
 from strandline.session import session
-from strandline.sources.annotation import write_lines, write_table
+from strandline.sources.annotation import SeveralFiles, save_lines, save_table, write_lines, write_table
 from strandline.sources.regions import BadRegion, bed_strict, literal_region, read_list, read_regions
 
 
@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-v", "--verbose", action="store_true")
         if name != "index":
             p.add_argument("-o", "--output", help="file, standard output without it")
+            p.add_argument("-P", "--parts", action="store_true", help="the output is a folder of part files, written by all tasks")
             p.add_argument("-t", "--threads", type=int, default=12, help="threads of a local session, 0 for all")
         if selects:
             p.add_argument("-e", "--entire_group", action="store_true")
@@ -74,7 +75,7 @@ def run(args: argparse.Namespace) -> None:
     if args.command in ("coverage", "depth"):
         regions = read_regions(spark, args.source)
         coverage = args.command == "coverage"
-        write_table(c.coverage(found, regions) if coverage else c.depth(found, regions), args.output, "fraction" if coverage else None)
+        (save_table if args.parts else write_table)(c.coverage(found, regions) if coverage else c.depth(found, regions), args.output, "fraction" if coverage else None)
         return
     if args.command == "sample":
         lines = c.sample(found, args.ratio)
@@ -94,18 +95,24 @@ def run(args: argparse.Namespace) -> None:
         if not wanted:
             values = [r.value for r in read_list(spark, args.attr_list).collect()] if args.attr_list else [args.attr]
             wanted = {"patterns" if args.regex else "values": values}
-        lines = c.search(found, **wanted, entire=args.entire_group, types=args.types, strict=True)
+        lines = c.search(found, **wanted, entire=args.entire_group, types=args.types, strict=True, warn=True)
+    if args.parts:
+        save_lines(lines, args.output)
+        return
     n = write_lines(lines, args.output)
     if args.verbose:
         print(f"{n} lines", file=sys.stderr)
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+    top = parser()
+    args = top.parse_args(argv)
+    if getattr(args, "parts", False) and not args.output:
+        top.error("--parts needs --output")
     warnings.simplefilter("always", UserWarning)
     try:
         run(args)
-    except (BadAnnotation, BadRegion, c.NothingMatched, FileNotFoundError, NotImplementedError) as fault:
+    except (BadAnnotation, BadRegion, SeveralFiles, c.NothingMatched, FileNotFoundError, NotImplementedError) as fault:
         print(f"strandline: {fault}", file=sys.stderr)
         return 1
     return 0

@@ -38,10 +38,11 @@ def indexed_value(text: Column, key: str, until: str) -> Column:
     return F.nullif(F.regexp_extract(text, re.escape(key) + f"=([^{until}]+)", 1), F.lit(""))
 
 
-def rust_pattern(pattern: str) -> str:
+def jvm_pattern(pattern: str) -> str:
     """Named groups written ``(?P<name>`` as the JVM writes them."""
     return pattern.replace("(?P<", "(?<")
 
 
 def any_pattern(patterns: list[str]) -> str:
-    return "|".join(f"(?:{rust_pattern(p)})" for p in patterns)
+    r"""Classes such as ``\w`` are those of Unicode, and only a line feed ends a line for ``.``, ``^`` and ``$``."""
+    return "(?dU)" + "|".join(f"(?:{jvm_pattern(p)})" for p in patterns)

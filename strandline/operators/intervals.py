@@ -122,8 +122,21 @@ def union_length(pieces: DataFrame, by: list[str], start: str = "a", end: str =
     return pieces.withColumn("_added", added).groupBy(*by).agg(F.sum("_added").alias(out))
 
 
-def merged(pieces: DataFrame, by: list[str], start: str = "a", end: str = "b") -> DataFrame:
-    """The pieces of each group joined where they overlap or touch."""
+def merged(pieces: DataFrame, by: list[str], start: str = "a", end: str = "b", shift: int = 20) -> DataFrame:
+    """The half-open pieces of each group joined where they overlap or touch; an empty one is a piece too, a reversed one isn't.
+
+    Pieces are parted at multiples of 2^20 and joined within each part, so that a group with very many pieces is spread.
+    What touches neither end of its part is done; of the rest each part has two at most, which are joined anew.
+    """
+    shifted = lambda c: F.expr(f"shiftright({c}, {shift})")
+    parts = pieces.filter(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(F.sequence(shifted(start), shifted(f"greatest({start}, {end} - 1)"))))
+    first, after = F.shiftleft(F.col("_bin"), shift), F.shiftleft(F.col("_bin") + 1, shift)
+    parts = parts.select(*by, "_bin", F.greatest(F.col(start), first).alias(start), F.least(F.col(end), after).alias(end))
+    joined = _joined(parts, [*by, "_bin"], start, end).withColumn("_open", (F.col(start) == first) | (F.col(end) == after))
+    return joined.filter("NOT _open").select(*by, start, end).unionByName(_joined(joined.filter("_open").select(*by, start, end), by, start, end))
+
+
+def _joined(pieces: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     order = W.partitionBy(*by).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
     islands = pieces.withColumn("_new", F.when(reach >= F.col(start), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order))

@@ -118,20 +118,24 @@ def extract(found: Annotation, ids: DataFrame, entire: bool = False, types: str
     return _selected(found, extract_roots(found, ids), "ID", entire, types)
 
 
-def search_roots(found: Annotation, values: list[str] | None = None, patterns: list[str] | None = None, table: DataFrame | None = None) -> DataFrame:
-    """fid (of the root) and value for each feature whose indexed attribute is among ``values`` or ``table`` (value), or matches a pattern somewhere."""
+def _with_value(found: Annotation, values: list[str] | None, patterns: list[str] | None, table: DataFrame | None) -> DataFrame:
+    """node and value of the features whose indexed attribute is asked for."""
     rows = found.links.filter("attr IS NOT NULL").select(F.col("off").alias("node"), F.col("attr").alias("value"))
     if patterns is not None:
-        rows = rows.filter(F.col("value").rlike(any_pattern(patterns)) if patterns else F.lit(False))
-    elif table is not None:
-        rows = rows.join(table.select("value").distinct(), "value", "left_semi")
-    else:
-        rows = rows.filter(F.col("value").isin(values or []))
+        return rows.filter(F.col("value").rlike(any_pattern(patterns)) if patterns else F.lit(False))
+    return rows.filter(F.col("value").isin(values or [])) if table is None else rows.join(table.select("value").distinct(), "value", "left_semi")
+
+
+def search_roots(found: Annotation, values: list[str] | None = None, patterns: list[str] | None = None, table: DataFrame | None = None) -> DataFrame:
+    """fid (of the root) and value for each feature whose indexed attribute is among ``values`` or ``table`` (value), or matches a pattern somewhere."""
+    rows = _with_value(found, values, patterns, table)
     return rows.join(found.roots, "node").filter("root IS NOT NULL").select(F.col("root").alias("fid"), "value").distinct()
 
 
-def search(found: Annotation, values: list[str] | None = None, patterns: list[str] | None = None, table: DataFrame | None = None, entire: bool = False, types: str | None = None, strict: bool = False) -> DataFrame:
-    """Lines of the features with the attribute, or their whole groups. With ``strict`` nothing found is an error."""
+def search(found: Annotation, values: list[str] | None = None, patterns: list[str] | None = None, table: DataFrame | None = None, entire: bool = False, types: str | None = None, strict: bool = False, warn: bool = False) -> DataFrame:
+    """Lines of the features with the attribute, or their whole groups. With ``strict`` nothing found is an error; with ``warn`` features without a root are told of."""
+    if warn:
+        _warn_rootless(found, _with_value(found, values, patterns, table), "attr")
     keep = search_roots(found, values, patterns, table)
     if strict and keep.isEmpty():
         raise NothingMatched("no attribute matched")
@@ -144,15 +148,19 @@ def _pairs(found: Annotation, regions: DataFrame) -> DataFrame:
 
 
 def _block_features(found: Annotation) -> DataFrame:
-    """Lines of reachable blocks that have an id and bounds, skipped types among them: fid, id, off, seqid, s0, e0."""
-    rows = found.block_lines.filter("data AND id IS NOT NULL AND s1 IS NOT NULL AND e1 IS NOT NULL AND e1 <> 0")
+    """Lines of reachable blocks that have an id and bounds, skipped types among them: fid, id, off, seqid, s0, e0.
+
+    A block with a line that isn't UTF-8, a comment for instance, has none.
+    """
+    unread = found.block_lines.filter("bad").select("fid").distinct()
+    rows = found.block_lines.join(unread, "fid", "left_anti").filter("data AND id IS NOT NULL AND s1 IS NOT NULL AND e1 IS NOT NULL AND e1 <> 0")
     return rows.select("fid", "id", "off", "seqid", F.greatest(F.least("s1", "e1") - 1, F.lit(0)).alias("s0"), F.greatest("s1", "e1").alias("e0"))
 
 
-def _merged(per_root: DataFrame, measure: str) -> DataFrame:
-    """Partial results of one id in several roots: the widest bounds, the sum."""
-    out = per_root.groupBy("id").agg(F.min_by("chr", "first").alias("chr"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum(measure).alias(measure))
-    return out.select("id", "chr", "start", "end", F.col(measure).cast("long").alias(measure))
+def merged_roots(partial: DataFrame, measure: str) -> DataFrame:
+    """Partial results of one id, as of several roots: the sequence and place (``first``) of its first line, the widest bounds, the sum."""
+    out = partial.groupBy("id").agg(F.min_by("chr", "first").alias("chr"), F.min("first").alias("first"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum(measure).alias(measure))
+    return out.select("id", "chr", "first", "start", "end", F.col(measure).cast("long").alias(measure))
 
 
 def depth_by_root(found: Annotation, regions: DataFrame) -> DataFrame:
@@ -169,7 +177,7 @@ def depth_by_root(found: Annotation, regions: DataFrame) -> DataFrame:
 
 def depth(found: Annotation, regions: DataFrame) -> DataFrame:
     """How many regions hit each feature: id, chr, start, end, depth. Features without a hit aren't listed."""
-    return _merged(depth_by_root(found, regions), "depth")
+    return merged_roots(depth_by_root(found, regions), "depth").drop("first")
 
 
 def coverage(found: Annotation, regions: DataFrame) -> DataFrame:
@@ -183,7 +191,7 @@ def coverage(found: Annotation, regions: DataFrame) -> DataFrame:
     pieces = overlapping(rows, pairs, "fid").select("fid", "id", F.greatest("s0", "qs").alias("a"), F.least("e0", "qe").alias("b"))
     lengths = union_length(pieces, ["fid", "id"], out="breadth")
     per_root = spans.join(lengths, ["fid", "id"], "left").withColumn("breadth", F.coalesce("breadth", F.lit(0)))
-    out = _merged(per_root, "breadth")
+    out = merged_roots(per_root, "breadth").drop("first")
     return out.withColumn("fraction", F.when(F.col("end") > F.col("start"), F.col("breadth") / (F.col("end") - F.col("start"))).otherwise(F.lit(0.0)))
 
 

@@ -6,6 +6,7 @@ same id replaces the earlier one.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -17,6 +18,7 @@ from strandline.functions.fields import SPACE, indexed_value, once, trimmed, u32
 from strandline.operators.hierarchy import resolve_roots
 from strandline.sources.annotation import read_lines, with_columns_of_lines
 
+# Fixed value: types that are skipped unless others are named.
 SKIPPED = "remark,note,comment,region,gap,assembly_gap,contig,scaffold,source"
 ATTRIBUTE = "gene_name"
 
@@ -92,7 +94,7 @@ def block_extents(spans: DataFrame, end_of_file: DataFrame) -> DataFrame:
 class Annotation:
     """Tables of one annotation. ``attribute`` is the key whose values ``attr`` holds.
 
-    ``lines``: b0, part, off, line, eol, data, seqid, type, s1, e1, attrs, id, fid. ``links``: part, off, seqid, s0, e0, id, parent, attr, fid, par.
+    ``lines``: b0, part, off, line, eol, data, bad, seqid, type, s1, e1, attrs, id, fid. ``links``: part, off, seqid, s0, e0, id, parent, attr, fid, par.
     """
 
     lines: DataFrame
@@ -157,8 +159,13 @@ def missing_tables(spark: SparkSession, path: str) -> list[str]:
 def from_lines(lines: DataFrame, attribute: str = ATTRIBUTE, skip_types: str = SKIPPED, check: bool = True) -> Annotation:
     """An annotation from (part, off, line, eol). The first line that can't be read is an error, unless ``check`` is off."""
     features = feature_rows(lines, attribute, skip_types)
-    if check and (fault := features.filter("fault IS NOT NULL").agg(F.min_by("fault", "off")).first()[0]):
-        raise BadAnnotation(fault)
+    if check:
+        odd = F.count(F.when(F.col("attr").rlike("[ ,]"), 1)).alias("odd")
+        seen = features.agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("off"))).alias("fault"), odd).first()
+        if seen.fault:
+            raise BadAnnotation(seen.fault)
+        if seen.odd:
+            warnings.warn(f"{seen.odd} values of {attribute} hold blanks or commas, which should be written as %20 and %2C", stacklevel=3)
     links = linked(features.drop("fault"))
     lines = with_columns_of_lines(lines)
     return Annotation(block_placed(lines, root_spans(links)), links, attribute, unplaced=lines)

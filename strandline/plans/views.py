@@ -6,7 +6,6 @@ numbers and skip some, which gives repeated ids and unknown parents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strandline.plans.model import Annotation, from_lines
+from strandline.session import shared_folder
 
 
 def annotation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,7 @@ def annotation(spark: SparkSession, sf_dir: str) -> Annotation:
     """The index of a folder's annotation: built by the first query of an application, read by the others."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXED:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")
-        path = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         from_lines(annotation_lines(spark, sf_dir), check=False).save(path)
         _INDEXED[key] = path
     return Annotation.load(spark, _INDEXED[key])

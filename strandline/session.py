@@ -13,11 +13,20 @@ def session(master: str | None = None, app: str = "strandline") -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``. A local session may do without; elsewhere that is an error."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="strandline-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from the shared checkpoint folder, so that iteration neither recomputes nor depends on one executor."""
+    """The same rows, written to the shared checkpoint folder: lineage ends here and survives lost executors."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

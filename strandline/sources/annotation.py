@@ -13,25 +13,32 @@ from strandline.functions.fields import first_value, once, u32
 
 
 def with_columns_of_lines(lines: DataFrame) -> DataFrame:
-    """Adds what the scans of blocks need to (off, line): seqid, type, s1, e1, attrs, id and ``data`` (not empty, no comment).
+    """Adds what the scans of blocks need to (off, line): seqid, type, s1, e1, attrs, id, ``data`` (not empty, no comment) and ``bad`` (not UTF-8).
 
     Columns are split at tabs, the ninth holds the rest; what isn't there or isn't a number is null.
     """
     names = lines.columns
-    lines = lines.select("*", ((F.length("line") > 0) & ~F.startswith("line", F.lit("#"))).alias("data"), once(F.split("line", "\t", 9)).alias("c"))
+    lines = lines.select("*", ((F.length("line") > 0) & ~F.startswith("line", F.lit("#"))).alias("data"), (~F.is_valid_utf8("line")).alias("bad"), once(F.split("line", "\t", 9)).alias("c"))
     at = lambda i: F.get("c", F.lit(i))
     held = lambda c: F.when(F.col("data"), c)
-    lines = lines.select(*names, "data", held(at(0)).alias("seqid"), held(at(2)).alias("type"), held(u32(at(3))).alias("s1"), held(u32(at(4))).alias("e1"), held(at(8)).alias("attrs"))
+    lines = lines.select(*names, "data", "bad", held(at(0)).alias("seqid"), held(at(2)).alias("type"), held(u32(at(3))).alias("s1"), held(u32(at(4))).alias("e1"), held(at(8)).alias("attrs"))
     return lines.withColumn("id", first_value(F.col("attrs"), "ID", "; \\t"))
 
 
+class SeveralFiles(ValueError):
+    """The path has more than one file: their order, and what offsets count from, isn't defined."""
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of one file: part, off (bytes before it), line (without its newline) and ``eol`` (its newline, empty at an open end).
+    """Every line of one file; several are an error. Columns: part, off (bytes before it), line (without its newline) and ``eol`` (its newline, empty at an open end).
 
     Offsets come from a two-level sum: within the file's splits, whose lines are in order, and over the splits, of which
     there are few. ``part`` rises with ``off``.
     """
-    raw = spark.read.option("lineSep", "\n").text(path).select(
+    text = spark.read.option("lineSep", "\n").text(path)
+    if len(files := text.inputFiles()) > 1:
+        raise SeveralFiles(f"an annotation is one file, {path} has {len(files)}")
+    raw = text.select(
         F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("row")
     )
     raw = raw.withColumn("bytes", F.octet_length("line") + 1)
@@ -50,9 +57,10 @@ def in_order(lines: DataFrame) -> DataFrame:
 def write_lines(lines: DataFrame, path: str | None = None) -> int:
     """Lines in file order, byte for byte, to a local file or standard output; how many. Rows pass through the driver one partition at a time."""
     n, out = 0, Path(path).open("wb") if path else sys.stdout.buffer
+    rows = in_order(lines).select(F.concat(F.col("line").cast("binary"), F.col("eol").cast("binary")).alias("bytes"))
     try:
-        for row in in_order(lines).toLocalIterator(prefetchPartitions=True):
-            out.write((row.line + row.eol).encode("utf-8", "surrogateescape"))
+        for row in rows.toLocalIterator(prefetchPartitions=True):
+            out.write(row.bytes)
             n += 1
         out.flush()
     finally:

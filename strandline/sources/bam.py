@@ -7,9 +7,13 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Records that go to Spark at once.
+BATCH = 50_000
 SCHEMA = "rid bigint, flag int, seqid string, pos bigint, span bigint"
 #: Operations that advance on the reference: M, D, N, = and X among MIDNSHP=X.
 ON_REFERENCE = {0, 2, 3, 7, 8}
@@ -94,10 +98,14 @@ class _Reader(DataSourceReader):
             raise FileNotFoundError(self.path)
         return [_File(i, p) for i, p in enumerate(found)]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
         with open(partition.path, "rb") as file:
-            for i, (flag, seq, pos, span) in enumerate(records(file)):
-                yield (partition.number << 40) + i, flag, seq, pos, span
+            found, n = records(file), 0
+            while rows := list(islice(found, BATCH)):
+                ids = range((partition.number << 40) + n, (partition.number << 40) + n + len(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip((ids, *zip(*rows)), types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+                n += len(rows)
 
 
 class BamSource(DataSource):

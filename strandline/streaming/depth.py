@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strandline.plans.commands import depth
+from strandline.plans.commands import depth_by_root, merged_roots
 from strandline.plans.model import Annotation
+from strandline.session import shared_folder
 
 
 def depth_sink(found: Annotation, regions: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Writes each batch's depth table under ``path``/batch=N. A batch that runs again replaces its own table, so none counts twice."""
+    """Writes each batch's depth table, with the place of each id's first line, under ``path``/batch=N. A batch that runs again replaces its own table, so none counts twice."""
 
     def each(batch: DataFrame, number: int) -> None:
-        depth(found, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        merged_roots(depth_by_root(found, batch), "depth").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = regions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def depth_so_far(tables: DataFrame) -> DataFrame:
-    """One table of the batches' tables: the widest bounds, the sum of depths."""
-    out = tables.groupBy("id").agg(F.min("chr").alias("chr"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("depth").alias("depth"))
-    return out.select("id", "chr", "start", "end", "depth")
+    """One table of the batches' tables: the sequence of the first line, the widest bounds, the sum of depths."""
+    return merged_roots(tables, "depth").drop("first")
 
 
 def replayed_depth(found: Annotation, regions: DataFrame, files: int = 3) -> DataFrame:
     """The depth of stored regions by way of the stream: they are written as ``files`` files, a batch each. ``found`` should be a saved index."""
     spark = regions.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")
-    root = f"{root.rstrip('/')}/depth-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/depth-{uuid.uuid4().hex}"
     regions.repartition(files).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(regions.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     query = depth_sink(found, stream, f"{root}/out", f"{root}/state", available_now=True)

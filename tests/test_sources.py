@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline import cli
-from strandline.functions.fields import first_value, indexed_value, rust_pattern, u32
+from strandline.functions.fields import any_pattern, first_value, indexed_value, jvm_pattern, u32
 from strandline.plans import commands as c
 from strandline.plans.model import build_index
 from strandline.sources import bam as bam_source
-from strandline.sources.annotation import read_lines, save_lines, save_table, write_lines
+from strandline.sources.annotation import SeveralFiles, read_lines, save_lines, save_table, write_lines
 from strandline.sources.regions import BadRegion, bed_lenient, bed_strict, parse_region, read_list, read_regions, sam
+from strandline.streaming.depth import replayed_depth
 from tests.test_demo import BED, TEXT
 
 
@@ -77,7 +78,7 @@ def test_numbers_and_values(spark):
     assert [r[0] for r in df.select(first_value(F.col("t"), "ID", "; \\t")).collect()] == ["g", "", None]
     assert [r[0] for r in df.select(indexed_value(F.col("t"), "ID", r";\s")).collect()] == ["g", None, None]
     assert [r[0] for r in spark.range(1).select(first_value(F.lit("a.b+c=1;axb+c=2"), "a.b+c", ";")).collect()] == ["1"]
-    assert rust_pattern("(?P<n>x)") == "(?<n>x)"
+    assert jvm_pattern("(?P<n>x)") == "(?<n>x)"
 
 
 def test_beds(spark, tmp_path):
@@ -185,3 +186,65 @@ def test_table_folders(spark, tmp_path):
     save_table(df, f"{tmp_path}/t", "fraction")
     got = spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/t")
     assert sorted(map(tuple, got.collect())) == [("a", "0.333333"), ("b", "0.500000")]
+
+
+def test_output_folders(spark, tmp_path):
+    (tmp_path / "d.gff").write_text(TEXT)
+    (tmp_path / "d.bed").write_text(BED)
+    gff, bed = f"{tmp_path}/d.gff", f"{tmp_path}/d.bed"
+    assert cli.main(["index", "-i", gff]) == 0
+    assert cli.main(["intersect", "-i", gff, "-b", bed, "-e", "-o", f"{tmp_path}/lines", "-P"]) == 0
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/lines").collect()) == sorted(TEXT.split("\n")[2:17])
+    assert cli.main(["depth", "-i", gff, "-s", bed, "-o", f"{tmp_path}/depth", "--parts"]) == 0
+    assert spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/depth").filter("id = 'c1'").first().depth == "1"
+    with pytest.raises(SystemExit):
+        cli.main(["depth", "-i", gff, "-s", bed, "-P"])
+
+
+def test_several_files_are_an_error(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.gff").write_text(TEXT)
+    with pytest.raises(SeveralFiles):
+        build_index(spark, f"{tmp_path}/in")
+    assert cli.main(["index", "-i", f"{tmp_path}/in"]) == 1
+
+
+def test_bytes_that_are_not_utf8(spark, tmp_path):
+    """They come out as they went in; a block with such a line has neither depth nor coverage."""
+    raw = TEXT.encode().replace(b"###\n", b"# caf\xe9 \xff\n", 1)
+    (tmp_path / "r.gff").write_bytes(raw)
+    found = build_index(spark, f"{tmp_path}/r.gff")
+    regions = spark.createDataFrame([(1, "chr1", 1500, 8200), (2, "chr2", 2000, 2650)], "rid long, seqid string, qs long, qe long")
+    write_lines(c.intersect(found, regions, entire=True), f"{tmp_path}/out")
+    assert b"# caf\xe9 \xff\n" in open(f"{tmp_path}/out", "rb").read()
+    for table in (c.depth(found, regions), c.coverage(found, regions)):
+        ids = {r.id for r in table.collect()}
+        assert "g1" not in ids and {"g2", "g3"} <= ids
+
+
+def test_patterns_are_those_of_unicode(spark):
+    def match(pattern, value):
+        return spark.createDataFrame([(value,)], "v string").filter(F.col("v").rlike(any_pattern([pattern]))).count() == 1
+
+    assert match(r"^\w\d$", "é1") and match(r"^\w\d$", "é٣") and match(r"^a\s$", "a\u2003") and not match(r"^a$", "a\r")
+    assert match("^a.b$", "a\rb") and match("^a.b$", "a\u2028b") and not match("^a.b$", "a\nb") and match("(?i)^STRASSE|É$", "é") and match("(?P<x>a)b", "ab")
+
+
+def test_warnings(spark, tmp_path):
+    rows = ["ID=a;Parent=b;gene_name=LOOP", "ID=b;Parent=a;gene_name=LOOP", "ID=r;gene_name=LOOP", "ID=s;gene_name=two words"]
+    (tmp_path / "w.gff").write_text("".join(f"chr1\ts\tgene\t{i + 1}\t9\t.\t+\t.\t{x}\n" for i, x in enumerate(rows)))
+    with pytest.warns(UserWarning, match="blanks or commas"):
+        found = build_index(spark, f"{tmp_path}/w.gff")
+    with pytest.warns(UserWarning, match="2 of the features found have no root"):
+        assert c.search(found, values=["LOOP"], warn=True).count() == 1
+
+
+def test_depth_of_a_stream_names_the_first_lines_sequence(spark, tmp_path):
+    """An id on two sequences, the later in the alphabet first: the stream says what the batch says."""
+    rows = ["chr2\ts\tgene\t101\t200\t.\t+\t.\tID=x", "chr1\ts\tgene\t101\t200\t.\t+\t.\tID=x", "chr1\ts\tgene\t301\t400\t.\t+\t.\tID=y", "chr1\ts\texon\t301\t350\t.\t+\t.\tID=z;Parent=x"]
+    (tmp_path / "s.gff").write_text("\n".join(rows) + "\n")
+    found = build_index(spark, f"{tmp_path}/s.gff", save=f"{tmp_path}/s.index")
+    regions = spark.createDataFrame([(i, f"chr{1 + i % 2}", 90 + 10 * i, 150 + 12 * i) for i in range(30)], "rid long, seqid string, qs long, qe long")
+    batch = sorted(map(tuple, c.depth(found, regions).collect()))
+    assert batch and batch == sorted(map(tuple, replayed_depth(found, regions, files=4).collect()))
