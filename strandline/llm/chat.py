@@ -103,13 +103,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation is a tree whose replies follow one another by turn; rows with the same turn by role, then text."""
+    """Each conversation is a tree whose replies follow one another by turn; rows with the same turn by role, then text.
+
+    Null text or role is empty; rows without a conv_id are one conversation; rows that repeat are turns of their own.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     order = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
     nodes = rows.unionByName(extra).withColumn("node", order)
-    nodes = nodes.select(F.struct("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    # ordered once: the joins of keys and the texts come from the same table
+    nodes = cut(nodes.select(F.struct("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text"))
     found = read_back(format_paths(nodes))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.support import lower_ascii, row_key, table, BLANKS
+from strandline.llm.support import cut, lower_ascii, row_key, table, BLANKS
 
 
 def line_key(line: Column) -> Column:
@@ -27,10 +27,11 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     points are always kept. Documents are told apart by id: rows with the same id count once, all null ids count as
     one document. Equal rows get equal results. An empty table gives an empty result.
     """
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.select("row", "text", row_key(F.col("id"), F.col("text")).alias("key"))
-    lines = base.select("key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("key", "pos", line_key(F.col("line")).alias("line"))
-    lines = lines.filter(F.length("line") >= min_chars).select("key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = docs.select(row_key(F.col(id_col), text).alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).select("key", "pos", line_key(F.col("line")).alias("line"))
+    lines = lines.filter(F.length("line") >= min_chars)
+    # texts are taken apart once
+    lines = cut(lines.select("key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
     common = (
         lines.select("h1", "h2", F.struct("key.id").alias("doc"))
         .distinct()
@@ -43,7 +44,9 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = lines.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
     common = common.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     dropped = lines.join(common, ["h1", "h2", "part"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    both = base.join(dropped, base["key"].eqNullSafe(dropped["key"]), "left").select("row", F.split("text", "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key(F.col(id_col), text).alias("key"))
+    both = base.join(dropped, base["key"].eqNullSafe(dropped["key"]), "left")
+    both = both.select("row", F.split(F.coalesce(F.col("row").getField(text_col), F.lit("")), "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     # stretch k lies between the dropped positions k - 1 and k; each line is copied once
     start = lambda k: F.when(k == 0, 0).otherwise(F.get("gone", k - 1) + 1)
     end = lambda k: F.coalesce(F.get("gone", k), F.size("lines"))

@@ -19,6 +19,7 @@ from strandline.llm.support import small_batches, table
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, MUXER, WRITER = 0x2AD7B1, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, DEFAULT_DURATION, FLAG_LACING = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383, 0x9C
+TRACK_SCALE, ENCODINGS = 0x23314F, 0x6D80
 AUDIO, RATE, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -61,7 +62,10 @@ def number(ident: int, value: int) -> bytes:
 
 
 def children(data, at: int, end: int, siblings: frozenset | set = frozenset()) -> Iterator[tuple[int, int, int]]:
-    """(id, first byte, end) of each element. One of unknown size ends where a sibling starts or its parent ends."""
+    """(id, first byte, end) of each element. One of unknown size ends where a sibling starts or its parent ends.
+
+    A segment or a cluster that is cut off is given as far as it goes, and the fault follows.
+    """
     while at < end:
         ident, body = read_vint(data, at, True)
         size, body = read_vint(data, body)
@@ -77,24 +81,38 @@ def children(data, at: int, end: int, siblings: frozenset | set = frozenset()) -
                     if s2 < 0:
                         raise Malformed("unknown size inside a cluster")
                     at2 = b2 + s2
-                stop = min(at2, end)
+                stop = at2
         else:
             stop = body + size
-            if stop > end:
-                raise Malformed(f"element at {at} ends beyond its parent")
-        yield ident, body, stop
+        if stop > end and ident not in (SEGMENT, CLUSTER):
+            raise Malformed(f"element at {at} ends beyond its parent")
+        yield ident, body, min(stop, end)
+        if stop > end:
+            raise Malformed(f"element at {at} ends beyond its parent")
         at = stop
 
 
+def until_fault(elements: Iterator[tuple[int, int, int]], faults: list[Malformed]) -> Iterator[tuple[int, int, int]]:
+    """The elements before a fault, which is put aside."""
+    try:
+        yield from elements
+    except Malformed as fault:
+        faults.append(fault)
+
+
 @dataclass(frozen=True)
 class Track:
     number: int
     kind: int
     codec: str
     default_duration: int
+    #: what the times of its blocks, but not of clusters, are multiplied by
+    scale: float
+    #: compressed, encrypted or stripped of headers
+    encoded: bool
 
 
-PACKET = ["track", "codec", "cluster", "block", "lacing", "frame", "timestamp_ns", "duration_ns", "keyframe", "cued", "start", "length"]
+PACKET = ["track", "codec", "cluster", "block", "lacing", "frame", "timestamp_ns", "duration_ns", "keyframe", "cued", "start", "length", "encoded"]
 
 
 def laced(data, at: int, end: int, flags: int) -> list[tuple[int, int]]:
@@ -143,20 +161,23 @@ def packets(data: bytes) -> Iterator[tuple]:
     """Frames in file order, as tuples of ``PACKET``. ``cluster`` and ``block`` are the places of their elements' bodies.
 
     ``timestamp_ns`` is the block's time, plus default durations for later frames of a lace (None where the track has no
-    default duration). ``cued``: a cue points to the cluster at the block's time for the track.
+    default duration). ``cued``: a cue points to the cluster at the block's time for the track. ``encoded``: the track
+    has content encodings, which have to be undone on the bytes of the range. Of a file that breaks off or is damaged
+    the frames before the fault come first, then ``Malformed`` is raised.
     """
+    faults: list[Malformed] = []
 
     def uint(a: int, b: int) -> int:
         return int.from_bytes(data[a:b], "big")
 
-    top = list(children(data, 0, len(data), {EBML, SEGMENT}))
+    top = list(until_fault(children(data, 0, len(data), {EBML, SEGMENT}), faults))
     if not top or top[0][0] != EBML:
         raise Malformed("no EBML header")
     for ident, seg, seg_end in top:
         if ident != SEGMENT:
             continue
         scale, tracks, cues, clusters = 1_000_000, {}, set(), []
-        for kind, a, b in children(data, seg, seg_end, TOP):
+        for kind, a, b in until_fault(children(data, seg, seg_end, TOP), faults):
             if kind == INFO:
                 for x, p, q in children(data, a, b):
                     if x == TIMESTAMP_SCALE:
@@ -166,7 +187,7 @@ def packets(data: bytes) -> Iterator[tuple]:
                     if x == TRACK_ENTRY:
                         got = {y: data[r:s] for y, r, s in children(data, p, q)}
                         num = lambda k: int.from_bytes(got.get(k, b""), "big")
-                        tracks[num(TRACK_NUMBER)] = Track(num(TRACK_NUMBER), num(TRACK_TYPE), got.get(CODEC, b"").rstrip(b"\0").decode("ascii", "replace"), num(DEFAULT_DURATION))
+                        tracks[num(TRACK_NUMBER)] = Track(num(TRACK_NUMBER), num(TRACK_TYPE), got.get(CODEC, b"").rstrip(b"\0").decode("ascii", "replace"), num(DEFAULT_DURATION), _float(got.get(TRACK_SCALE, b"")), ENCODINGS in got)
             elif kind == CUES:
                 for x, p, q in children(data, a, b):
                     if x == CUE_POINT:
@@ -182,7 +203,7 @@ def packets(data: bytes) -> Iterator[tuple]:
             time, head = 0, a - 8
             # a cue holds the place of the cluster's id, whose four bytes come before the size
             head = next((h for h in range(a - 5, max(a - 13, seg) - 1, -1) if uint(h, h + 4) == CLUSTER), a)
-            for x, p, q in children(data, a, b):
+            for x, p, q in until_fault(children(data, a, b), faults):
                 if x == CLUSTER_TIME:
                     time = uint(p, q)
                     continue
@@ -205,11 +226,17 @@ def packets(data: bytes) -> Iterator[tuple]:
                 frames = laced(data, at + 3, q, flags)
                 if length is not None:
                     each = length * scale // len(frames)
+                begin = (time + relative) * scale if known is None or known.scale == 1 else time * scale + round(relative * scale * known.scale)
                 cued = (track, time + relative, head) in cues
                 for i, (start, n) in enumerate(frames):
-                    stamp = (time + relative) * scale
-                    stamp = stamp + i * each if each else (None if i else stamp)
-                    yield track, known.codec if known else None, a, p, LACES[flags & 6], i, stamp, each, key, cued and not i, start, n
+                    stamp = begin + i * each if each else (None if i else begin)
+                    yield track, known.codec if known else None, a, p, LACES[flags & 6], i, stamp, each, key, cued and not i, start, n, known is not None and known.encoded
+    if faults:
+        raise faults[0]
+
+
+def _float(data: bytes) -> float:
+    return struct.unpack(">f" if len(data) == 4 else ">d", data)[0] if len(data) in (4, 8) else 1.0
 
 
 RATE_HZ, FRAME, LACE, BLOCKS = 8000, 1920, 8, 16
@@ -255,8 +282,8 @@ def _signed(value: int) -> bytes:
     return ((value + (1 << (7 * n - 1)) - 1) | 1 << (7 * n)).to_bytes(n, "big")
 
 
-PACKET_DDL = "track bigint, codec string, cluster bigint, block bigint, lacing string, frame int, timestamp_ns bigint, duration_ns bigint, keyframe boolean, cued boolean, start bigint, length bigint"
-PACKET_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+PACKET_DDL = "track bigint, codec string, cluster bigint, block bigint, lacing string, frame int, timestamp_ns bigint, duration_ns bigint, keyframe boolean, cued boolean, start bigint, length bigint, encoded boolean"
+PACKET_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_()]
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:

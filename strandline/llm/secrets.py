@@ -41,14 +41,16 @@ def _with_spans(df: DataFrame, kind: str, pattern: str, where: Column | None = N
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", radius: int = 200) -> DataFrame:
-    """Spans of secrets: one row per input row, with ``row`` (the input row as a struct), ``base`` and ``spans``.
+    """Spans of secrets: one row per input row, with ``row`` (the input row as a struct), ``base``, ``spans`` and ``links``.
 
     ``base`` holds what stands alone: assignments of 12 or more characters to a telling name, access key ids, long runs
     of hex digits. ``spans`` adds the weak parts - a named identifier, a mixed token or a short assignment (kind
     ``secret``), an address - where complementary parts start within ``radius`` code points of each other: a weak
     secret needs an identifier, an identifier needs a secret, an address needs both. Both are arrays of
     (start, rank, end, kind) in order; starts and ends count code points, ends are exclusive, and ``rank`` is the
-    kind's place in ``KINDS``.
+    kind's place in ``KINDS``. ``links`` says which spans complete each other: a pair (a, b) of a name (an identifier or an
+    access key id) and a secret (mixed token, assignment or hex run) of its scope, or of an address and a name of its
+    scope, in the order of both. A span's scope is the stretch of ``radius`` code points around its start in its row.
 
     The interval join runs inside each row over the parts sorted by start: the parts within the radius of one are among
     the ``reach`` neighbours on either side, because spans of a kind are disjoint and have a least length. So the join
@@ -89,10 +91,14 @@ def find_secrets(docs: DataFrame, text_col: str = "text", radius: int = 200) ->
         near = F.slice("all", F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1)
         return F.exists(near, lambda q: q["rank"].isin(ranks) & (F.abs(q["start"] - part["start"]) <= radius))
 
+    # how far base spans reach that begin no later than each part, however long ago they began
+    ends = F.transform("all", lambda q: F.when(q["rank"] < 3, q["end"]).otherwise(0).cast("long"))
+    df = df.withColumn("_ends", F.when(F.size("weak") > 0, ends).otherwise(F.array().cast("array<bigint>")))
+    df = with_running_totals(df, "_ends", "reached", add=lambda x, y: F.greatest(x, y))
+
     def covered(part: Column, i: Column) -> Column:
         """A weak secret that a reported base span already holds adds nothing."""
-        near = F.slice("all", F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1)
-        return F.exists(near, lambda q: (q["rank"] < 3) & (q["start"] <= part["start"]) & (q["end"] >= part["end"]))
+        return F.get("reached", i) >= part["end"]
 
     def keeps(part: Column, i: Column) -> Column:
         kind = part["kind"]
@@ -103,18 +109,31 @@ def find_secrets(docs: DataFrame, text_col: str = "text", radius: int = 200) ->
             .otherwise(beside(part, i, names) & beside(part, i, secrets))
         )
 
-    spans = F.when(F.size("weak") > 0, F.filter("all", keeps)).otherwise(F.col("base"))
-    return df.select("row", "base", spans.alias("spans"))
+    df = df.withColumn("spans", F.when(F.size("weak") > 0, F.filter("all", keeps)).otherwise(F.col("base")))
+
+    def partners(part: Column, i: Column) -> Column:
+        near = F.slice("spans", F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1)
+        fits = lambda q: (part["rank"].isin(names) & q["rank"].isin(secrets)) | ((part["rank"] == KINDS.index("endpoint")) & q["rank"].isin(names))
+        return F.transform(F.filter(near, lambda q: fits(q) & (F.abs(q["start"] - part["start"]) <= radius)), lambda q: F.struct(part.alias("a"), q.alias("b")))
+
+    span = "struct<start:bigint,rank:int,end:bigint,kind:string>"
+    links = F.when(F.exists("spans", lambda p: p["rank"].isin(names)), F.flatten(F.transform("spans", partners))).otherwise(F.array().cast(f"array<struct<a:{span},b:{span}>>"))
+    return df.select("row", "base", "spans", links.alias("links"))
 
 
 def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def listed_links(links: Column) -> Column:
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(links, lambda x: F.concat(text(x["a"]), F.lit("+"), text(x["b"]))), ",")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(F.col("row.doc_id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), listed_links(F.col("links")).alias("links"))
 
 
 def _sql() -> str:
@@ -142,14 +161,18 @@ m AS (
     EXISTS (SELECT 1 FROM parts q WHERE q.rid = a.rid AND q.rank < 3 AND q."start" <= a."start" AND q."end" >= a."end") AS held
   FROM parts a
 ), kept AS (
-  SELECT rid, "start", rank, ['assign', 'access', 'hex', 'identifier', 'secret', 'endpoint'][rank + 1] || ':' || "start" || ':' || "end" AS span
+  SELECT rid, "start", "end", rank, ['assign', 'access', 'hex', 'identifier', 'secret', 'endpoint'][rank + 1] || ':' || "start" || ':' || "end" AS span
   FROM marked WHERE rank < 3 OR (rank = 3 AND secret) OR (rank = 4 AND named AND NOT held) OR (rank = 5 AND named AND secret)
+), linked AS (
+  SELECT a.rid, string_agg(a.span || '+' || b.span, ',' ORDER BY a."start", a.rank, a."end", b."start", b.rank, b."end") AS links
+  FROM kept a JOIN kept b ON a.rid = b.rid AND abs(a."start" - b."start") <= 200 AND ((a.rank IN (1, 3) AND b.rank IN (0, 2, 4)) OR (a.rank = 5 AND b.rank IN (1, 3)))
+  GROUP BY a.rid
 )
 SELECT any_value(doc_id) AS doc_id, (count(*) FILTER (WHERE rank = 0))::BIGINT AS n_assign, (count(*) FILTER (WHERE rank = 1))::BIGINT AS n_access,
        (count(*) FILTER (WHERE rank = 2))::BIGINT AS n_hex,
        sha256(coalesce(string_agg(span, ',' ORDER BY "start", rank) FILTER (WHERE rank < 3), '')) AS base_sha256,
-       coalesce(string_agg(span, ',' ORDER BY "start", rank, span), '') AS spans
-FROM d LEFT JOIN kept USING (rid) GROUP BY rid"""
+       coalesce(string_agg(span, ',' ORDER BY "start", rank, "end"), '') AS spans, coalesce(any_value(links), '') AS links
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN linked USING (rid) GROUP BY rid"""
 
 
 ORACLE_SQL = _sql()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.support import cut, small_batches, table
+from strandline.llm.support import cut, small_batches, table, tidy
 
 BYTES = 8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -223,23 +223,24 @@ def frequent_cells(docs: DataFrame, words: int, above: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cells, held, waiting = np.zeros(1 << SKETCH_BITS, dtype=np.int64), [], 0
+        cells, held, waiting = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), [], 0
         for got in batches:
             for text in got.column(1).cast(pa.binary()):
                 held.append(all_shingles(normal_words(text.as_py() or b""), words) >> np.uint64(64 - SKETCH_BITS))
                 waiting += len(held[-1])
                 if waiting > 1 << 20:  # counted by the million, so that few wait
-                    cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(cells))
+                    cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(cells)).astype(np.uint32)
                     held, waiting = [], 0
         if held:
-            cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(cells))
+            cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(cells)).astype(np.uint32)
         if cells.any():
             task = TaskContext.get().partitionId()
             rows = [cells[i << CHUNK_BITS : (i + 1) << CHUNK_BITS] for i in range(chunks)]
             yield pa.RecordBatch.from_arrays([pa.array([task // 64] * chunks), pa.array(range(chunks)), pa.array([r.tobytes() for r in rows], type=pa.binary())], names=["part", "chunk", "counts"])
 
     def added(key: tuple, rows: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(r.as_py(), dtype=np.int64) for r in rows["counts"]), np.zeros(1 << CHUNK_BITS, dtype=np.int64))
+        wide = {4 << CHUNK_BITS: np.uint32, 8 << CHUNK_BITS: np.int64}  # of tasks and of sums
+        total = sum((np.frombuffer(r, dtype=wide[len(r)]).astype(np.int64) for r in rows["counts"].to_pylist()), np.zeros(1 << CHUNK_BITS, dtype=np.int64))
         return pa.table([pa.array([0]), rows["chunk"][:1], pa.array([total.tobytes()], type=pa.binary())], names=["part", "chunk", "counts"])
 
     schema = "part bigint, chunk bigint, counts binary"
@@ -270,8 +271,9 @@ def _place(doc_id: int | None, h1: int) -> int:
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)])
-    return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *arrays]).view(np.int64)))
+    """Of signed numbers of the same width."""
+    ends, flat = np.cumsum([0, *map(len, arrays)]), np.concatenate(arrays)
+    return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat.view(flat.dtype.str.replace("u", "i"))))
 
 
 def _posted(docs: DataFrame, words: int, similarity: float, frequent: np.ndarray) -> DataFrame:
@@ -317,7 +319,7 @@ def _map_of(rows: DataFrame) -> np.ndarray:
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """node and shingles (its set, sorted) of the nodes of ``wanted`` (node, rid, place): made again from the texts of the rows named.
+    """node and shingles of the nodes of ``wanted`` (node, rid, place): the upper halves of their hashes, made again from the texts of the rows named.
 
     A map of fixed size tells a scan of (doc_id, text) which rows may be wanted, so that few others are hashed and exchanged.
     """
@@ -335,12 +337,12 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                 place = _place(ident, a)
                 if marks[place >> 3] >> (place & 7) & 1:
                     parts = normal_words(text)
-                    rows.append((ident, a, b, xxhash.xxh3_64_intdigest(b" ".join(parts)), shingle_set(parts, words)))
+                    rows.append((ident, a, b, xxhash.xxh3_64_intdigest(b" ".join(parts)), (shingle_set(parts, words) >> np.uint64(32)).astype(np.uint32)))
             if rows:
                 ids, a, b, nodes, sets = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), _lists(sets)], names=["doc_id", "h1", "h2", "node", "shingles"])
 
-    found = docs.transform(small_batches).mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, node bigint, shingles array<bigint>").select("node", _rid(), "shingles")
+    found = docs.transform(small_batches).mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, node bigint, shingles array<int>").select("node", _rid(), "shingles")
     named = wanted.select("node", F.col("rid").alias("named"))
     return found.join(named, "node").filter(F.col("rid") == F.col("named")).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -349,17 +351,18 @@ def _proven(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, sim
     """Those of ``pairs`` (a, b) whose shingle sets have that similarity. ``nodes``: node, the least rid, its place."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut(_sets_of(cut(nodes.select("node", F.col("least").alias("rid"), "place").join(wanted, "node")), docs, words))
+    tidy(docs.sparkSession)
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}s"))
     shared = F.size(F.array_intersect("as", "bs"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
-    return both.filter(F.col("shared") >= similarity * (F.size("as") + F.size("bs") - F.col("shared")) - 1e-9).select("a", "b")
+    return cut(both.filter(F.col("shared") >= similarity * (F.size("as") + F.size("bs") - F.col("shared")) - 1e-9).select("a", "b"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, list_limit: int = 20_000, above: int = 256) -> DataFrame:
     """One row per input row: ``rid`` (its identity), ``place`` (see ``_place``), doc_id, and ``first``: the identity that stays of its group.
 
     Groups are the components of the pairs whose sets of ``words``-word shingles have the given Jaccard similarity or
-    more: all such pairs, and no others, up to collisions of 64-bit hashes. In any order of the shingles that all texts
+    more: all such pairs, and no others, up to collisions of hashes (64 bits where texts are sought, 32 in the proof of a pair). In any order of the shingles that all texts
     share, the first fifth (at 0.8) of two such sets has a shingle in common, so an inverted index on these prefixes
     misses none. The order is that of the hashes, but shingles in cells of a sketch that hold far more than the mean (``above`` and four times it) come
     last: a passage that many texts share is indexed only where a text has little else. The order changes the cost only.
@@ -379,6 +382,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = cut(each.groupBy("node").agg(F.min("rid").alias("least"), F.min_by("place", "rid").alias("place"), F.first("size").alias("size")))
     postings = each.select("node", F.explode("prefix").alias("key"))
     lists = postings.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub")
+    tidy(docs.sparkSession)
     held = cut(postings.join(lists, "key").groupBy("key", "node").agg(F.first("hub").alias("hub")))
     size = nodes.select("node", "size")
     kept = lambda n: n - F.ceil(similarity * n - 1e-9) + 1
@@ -393,7 +397,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hubs = held.filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).join(size, "node").join(size.toDF("hub", "hub_size"), "hub")
     hubs = hubs.filter(near(F.col("size"), F.col("hub_size")) & enough(F.col("size"), F.col("hub_size"), F.col("c")))
     hubs = cut(hubs.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("b")).select(F.col("node").alias("a"), "b"))
-    edges = cut(_proven(hubs, nodes, texts, words, similarity))
+    tidy(docs.sparkSession)
+    edges = _proven(hubs, nodes, texts, words, similarity)
+    tidy(docs.sparkSession)
     roots = components(edges)
 
     # then all pairs of a list that are in different groups: at least one of a pair isn't in the list's largest
@@ -409,7 +415,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # which of the two is in the largest group differs by list
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_size", "b_size").alias("n"), F.greatest("a_size", "b_size").alias("m")]
     counted = met.select(*pair).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c")).filter(enough(F.col("n"), F.col("m"), F.col("c")))
-    more = cut(_proven(cut(counted.select("a", "b")), nodes, texts, words, similarity))
+    counted = cut(counted.select("a", "b"))
+    del held, members, left, right, met
+    tidy(docs.sparkSession)
+    more = _proven(counted, nodes, texts, words, similarity)
+    tidy(docs.sparkSession)
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import re
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from strandline.session import importable
+from strandline.session import cut, importable, shared_folder
+
+__all__ = ["cut"]
 
 #: ASCII white space: the only characters that separate words here.
 BLANKS = " \t\n\x0b\f\r"
@@ -17,15 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
-    return df.checkpoint(eager=True)
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """The same frame; its session hands Python batches of 16 MB at most, so that long texts don't pile up in a worker."""
     key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
@@ -57,26 +52,46 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_running_totals(df: DataFrame, steps: str, out: str, block: int = 64) -> DataFrame:
-    """Adds ``out``: for each element of the array ``steps`` the sum of all up to it, itself included.
+def with_running_totals(df: DataFrame, steps: str, out: str, block: int = 64, add: Callable[[Column, Column], Column] = lambda x, y: x + y) -> DataFrame:
+    """Adds ``out``: for each element of the array ``steps`` the sum of all up to it, itself included; or their greatest, with another ``add``.
 
     Sums of blocks first, then within a block, so a long array costs little more than its length.
     """
-    add = lambda x, y: x + y
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), add)
     df = df.withColumn("_sums", F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / block)), lambda b: total(F.slice(steps, (b * block + 1).cast("int"), block))))
     df = df.withColumn("_before", F.transform(F.sequence(F.lit(1), F.size("_sums")), lambda b: total(F.slice("_sums", 1, b - 1))))
-    at = lambda i: F.get("_before", F.floor(i / block).cast("int")) + total(F.slice(steps, (i - i % block + 1).cast("int"), i % block + 1))
+    at = lambda i: add(F.get("_before", F.floor(i / block).cast("int")), total(F.slice(steps, (i - i % block + 1).cast("int"), i % block + 1)))
     # the second mention keeps the optimiser from moving the sums into the lambda
     df = df.withColumn(out, F.when(F.size("_before") > 0, F.transform(steps, lambda _, i: at(i))).otherwise(F.array().cast("array<bigint>")))
     return df.drop("_sums", "_before")
 
 
+def running_totals(df: DataFrame, by: list[str], at: str, value: str, out: str, block: int = 4096) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows with equal ``by`` and a smaller ``at``, a whole number that is unique there.
+
+    Sums of blocks of ``block`` values of ``at`` first, then within a block, so a key with very many rows is spread over many tasks.
+    """
+    df = df.withColumn("_block", F.floor(F.col(at) / block))
+    blocks = df.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
+    blocks = blocks.select(*by, "_block", (F.sum("_sum").over(W.partitionBy(*by).orderBy("_block")) - F.col("_sum")).alias("_before"))
+    within = F.sum(value).over(W.partitionBy(*by, "_block").orderBy(at)) - F.col(value)
+    df = df.withColumn("_within", within).join(blocks, [*by, "_block"])
+    return df.withColumn(out, F.col("_before") + F.col("_within")).drop("_block", "_before", "_within")
+
+
+def tidy(spark: SparkSession) -> None:
+    """Removes the files of shuffles and checkpoints that no frame refers to any more, now and not when the driver's heap is full.
+
+    Spark removes them when the driver collects its garbage, which a driver of little work seldom does.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str, before: str | None = None) -> tuple[DataFrame, str]:
     """The same rows from a Parquet table in the shared folder, and its path; the table ``before`` goes once they are written."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")
-    path = f"{root.rstrip('/')}/strandline-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_folder(spark)}/strandline-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     if before:
         jvm = spark.sparkContext._jvm

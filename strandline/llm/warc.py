@@ -50,46 +50,67 @@ class Malformed(ValueError):
     """The bytes at this place aren't a record."""
 
 
-def _plain(data: bytes) -> bytes:
-    """Members of gzip, each a record or more, unpacked."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
+def plain_chunks(data: bytes, step: int = 1 << 16, most: int = 1 << 24) -> Iterator[bytes]:
+    """Members of gzip, each a record or more, unpacked; other bytes as they are. Each byte is fed once, and few are held unpacked."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        if bytes(view[at : at + 2]) != b"\x1f\x8b":
+            yield from (bytes(view[i : i + most]) for i in range(at, len(data), most))
+            return
         unpack = zlib.decompressobj(31)
-        try:
-            out.append(unpack.decompress(data))
-        except zlib.error as fault:
-            raise Malformed(f"gzip: {fault}") from None
-        if not unpack.eof:
-            raise Malformed("gzip: cut off")
-        data = unpack.unused_data
-    return b"".join(out) + data
+        while not unpack.eof:
+            part = view[at : at + step]
+            try:
+                out = unpack.decompress(part, most)
+            except zlib.error as fault:
+                raise Malformed(f"gzip: {fault}") from None
+            # after the end of a member both hold what follows it
+            at += len(part) - len(unpack.unused_data if unpack.eof else unpack.unconsumed_tail)
+            if out:
+                yield out
+            elif not part and not unpack.eof:
+                raise Malformed("gzip: cut off")
 
 
 def read_records(data: bytes) -> Iterator[tuple[int, list[tuple[str, str]], bytes]]:
-    """(offset in the unpacked bytes, headers in order, block) of each record. Header lines may be continued."""
-    data = _plain(data)
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] in (b"\r\n", b"\n\n") or data[at : at + 1] == b"\n":
-            at += 2 if data[at : at + 2] == b"\r\n" else 1
+    """(offset in the unpacked bytes, headers in order, block) of each record, as it is read. Header lines may be continued."""
+    chunks, buffer, gone, at = plain_chunks(data), bytearray(), 0, 0
+
+    def reach(n: int) -> bool:
+        """Whether the buffer has ``n`` bytes, or can be filled to."""
+        while len(buffer) < n:
+            if (chunk := next(chunks, None)) is None:
+                return False
+            buffer.extend(chunk)
+        return True
+
+    while reach(at + 1):
+        if buffer[at] in b"\r\n" and (buffer[at] == 10 or (reach(at + 2) and buffer[at + 1] == 10)):
+            at += 1 if buffer[at] == 10 else 2
             continue
-        if data[at : at + 5] != b"WARC/":
-            raise Malformed(f"no record at {at}")
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise Malformed(f"headers at {at} don't end")
+        if not reach(at + 5) or buffer[at : at + 5] != b"WARC/":
+            raise Malformed(f"no record at {gone + at}")
+        seen = at
+        while (end := buffer.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(at, len(buffer) - 3)
+            if not reach(len(buffer) + 1):
+                raise Malformed(f"headers at {gone + at} don't end")
         headers: list[tuple[str, str]] = []
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in buffer[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
             if line[:1] in (" ", "\t") and headers:
                 headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.strip()}")
             else:
                 name, _, value = line.partition(":")
                 headers.append((name.strip(), value.strip()))
         length = header(headers, "Content-Length") or ""
-        if not length.isdecimal() or end + 4 + int(length) > len(data):
-            raise Malformed(f"record at {at} has no whole block")
-        yield at, headers, data[end + 4 : end + 4 + int(length)]
-        at = end + 4 + int(length)
+        if not length.isdecimal() or not reach(end + 4 + int(length)):
+            raise Malformed(f"record at {gone + at} has no whole block")
+        stop = end + 4 + int(length)
+        yield gone + at, headers, bytes(memoryview(buffer)[end + 4 : stop])
+        at = stop
+        if at > 1 << 20:
+            del buffer[:at]
+            gone, at = gone + at, 0
 
 
 def header(headers: list, name: str) -> str | None:
@@ -223,7 +244,9 @@ def records(files: DataFrame, source_col: str = "path", content_col: str = "cont
     """Records of WARC files in a binary column (as ``spark.read.format("binaryFile")`` gives them), gzipped or not.
 
     ``offset`` counts in the unpacked bytes. Where a file breaks off or isn't WARC a row with ``error`` follows the
-    records before. Null content gives none. Output goes out in batches; a file is held as a whole.
+    records before. Null content gives none. Packed files are unpacked as they are read, in time that grows with their
+    size, and records go out in batches; a file's packed bytes are held, 2 GB at most, as that is what a binary column holds.
+    Files that repeat give their records again; an empty table gives an empty result; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

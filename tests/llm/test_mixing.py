@@ -1,5 +1,6 @@
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,15 +22,47 @@ def plain_fill(sizes, weights, cap):
     return out
 
 
-def test_water_fill():
-    r = random.Random(1)
-    for _ in range(300):
-        n = r.randrange(1, 9)
-        sizes, weights = [r.choice([0, 1, r.randrange(50), r.randrange(5000)]) for _ in range(n)], [1 + i % 3 for i in range(n)]
-        got = m.water_fill(sizes, weights, 3.0)
-        assert got == pytest.approx(plain_fill(sizes, weights, 3.0), abs=1e-5)
-        assert sum(got) == pytest.approx(sum(sizes)) and all(g <= 3 * s + 1e-9 for g, s in zip(got, sizes))
-    assert m.water_fill([], [], 3.0) == []
+def one_two_three(n):
+    return [1 + i % 3 for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets(spark, seed):
+    r = random.Random(seed)
+    n = (1, 5, 9, 40)[seed]
+    sizes = [r.choice([0, 1, r.randrange(50), r.randrange(5000)]) for _ in range(n)]
+    sources = spark.createDataFrame(list(enumerate(sizes)), "s long, source_size long")
+    got = [x.target for x in m.with_targets(sources, m.one_two_three, 3.0).orderBy("s").collect()]
+    assert got == pytest.approx(plain_fill(sizes, one_two_three(n), 3.0), abs=1e-5)
+    assert sum(got) == pytest.approx(sum(sizes)) and all(g <= 3 * s + 1e-9 for g, s in zip(got, sizes))
+
+
+def test_sources_are_numbered_by_code_point(spark):
+    names = ["z", "a", "Ä", "é", "\uffee", "\U0001f600", "", None, "ab", "aa"] + [f"h{i}.example" for i in range(200)]
+    docs = spark.createDataFrame([(i, "w " * (i % 7), x) for i, x in enumerate(names)], "doc_id long, text string, source string")
+    got = {x.source: x.s for x in m._sources(m.measure(docs.repartition(5))).collect()}
+    want = sorted({x for x in names if x is not None}, key=lambda x: [ord(c) for c in x])
+    assert [x for x, _ in sorted(got.items(), key=lambda p: p[1])] == [*want, None] and sorted(got.values()) == list(range(len(got)))
+
+
+def test_many_sources_without_broadcast(spark, monkeypatch):
+    """The same result when the table of sources isn't sent out."""
+    docs = spark.createDataFrame([(i, "w " * (i % 90), f"s{i % 37}") for i in range(600)], "doc_id long, text string, source string")
+    take = lambda: sorted((x.row.doc_id, x.taken) for x in m.mix(m.measure(docs, ["doc_id"]), block_words=16).documents.collect())
+    first = take()
+    monkeypatch.setattr(m, "FEW_SOURCES", 5)
+    assert take() == first
+
+
+def test_rows_of_the_mix(spark):
+    rows = corpus(11, 120) + [(7000, "same " * 30, "b")] * 3
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["slot", "time", "n", "h1", "of"])
+    got = m.mixed_rows(docs, block_words=64)
+    assert got.columns == docs.columns
+    taken = defaultdict(float)
+    for x in m.mix(m.measure(docs, ["doc_id"]), block_words=64).documents.collect():
+        taken[x.row.doc_id] += math.floor(x.taken / max(x["size"], 1) + 0.5)
+    assert Counter(x.doc_id for x in got.collect()) == {i: n for i, n in taken.items() if n}
 
 
 def corpus(seed, n=300):
@@ -56,7 +89,7 @@ def test_mix(spark, block):
         by[x.source].append(x)
     order = sorted(by, key=lambda s: (s is None, s or ""))
     sizes = [sum(x.size for x in by[s]) for s in order]
-    for s, size, target in zip(order, sizes, m.water_fill(sizes, m.one_two_three(order), 3.0)):
+    for s, size, target in zip(order, sizes, plain_fill(sizes, one_two_three(len(order)), 3.0)):
         assert {x.source_size for x in by[s]} == {size} and {round(x.target, 6) for x in by[s]} == {round(target, 6)}
         assert 0 <= target - sum(x.taken for x in by[s]) < 1.001
         # a source is walked in passes: no document is a whole pass ahead of another

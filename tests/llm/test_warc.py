@@ -1,5 +1,7 @@
 import gzip
 import json
+import random
+import time
 
 from strandline.llm import warc as w
 
@@ -29,6 +31,39 @@ def test_faults():
         raise AssertionError(bad[:40])
 
 
+def test_records_before_a_fault():
+    raw = [response(f"http://a.example/{i}", "<p>" + "x" * (300 * i)) for i in range(20)]
+    for data in (b"".join(raw), b"".join(map(gzip.compress, raw)), gzip.compress(b"".join(raw))):
+        got = []
+        try:
+            for _, headers, _ in w.read_records(data[:-30]):
+                got.append(w.header(headers, "WARC-Target-URI"))
+        except w.Malformed:
+            pass
+        assert got == [f"http://a.example/{i}" for i in range(len(got))] and len(got) >= 18
+
+
+def test_time_grows_with_the_members():
+    """Eight times as many members take about eight times as long, not sixty-four times."""
+
+    def seconds(n):
+        data = gzip.compress(w.write_record([("WARC-Type", "resource")], random.Random(1).randbytes(2000))) * n
+        began = time.process_time()
+        assert sum(1 for _ in w.read_records(data)) == n
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 24 * max(seconds(2_000), 0.01)
+
+
+def test_chunks():
+    r = random.Random(2)
+    big = r.randbytes(300_000) + bytes(40_000_000)  # unpacks to far more than its bytes
+    packed = gzip.compress(big) + gzip.compress(b"") + gzip.compress(b"end")
+    parts = list(w.plain_chunks(packed + b"plain"))
+    assert b"".join(parts) == big + b"endplain" and max(map(len, parts)) <= 1 << 24
+
+
 def test_text_and_links():
     page = """<!DOCTYPE html><html><head><title>T &amp; u</title><style>p{}</style><script>var t="</p>";</script></head>
     <body><!-- no <b>text</b> --><h1 title="a > b">Head</h1><p>One <b>two</b>&nbsp;three<br>four &lt;x&gt; 1 < 2<p>five
@@ -89,3 +124,11 @@ def test_query(spark, tmp_path):
     ids = {(r.page_id, r.type): r for r in rows}
     assert ids[1, "metadata"].conversion_id == ids[1, "conversion"].record_id and ids[1, "metadata"].refers_to == ids[1, "conversion"].refers_to
     assert ids[1, "conversion"].block_digest == w.digest(b"A\nb & c") and ids[2, "conversion"].block_bytes == 0
+
+
+def test_very_long_pages_and_clashing_columns(spark, tmp_path):
+    page = "<p>" + "word &amp; " * 400_000
+    rows = [(1, "http://x.example/", page, "clash"), (2, "u", None, "clash")]
+    spark.createDataFrame(rows, "page_id long, url string, html string, type string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.type): r for r in w.op9_warc(spark, str(tmp_path)).collect()}
+    assert len(got) == 4 and got[1, "conversion"].block_bytes == len("word & " * 400_000) - 1
