@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 from strandline.operators.intervals import merged, overlapping, union_length
 from strandline.plans import commands as c
-from strandline.plans.views import annotation, regions
-from strandline.sources.regions import literal_region
+from strandline.plans.model import feature_rows
+from strandline.plans.views import annotation, annotation_lines, regions
+from strandline.session import shared_folder
+from strandline.sources.annotation import save_table
+from strandline.sources.regions import bed_strict, literal_region, read_list, read_regions
 from strandline.streaming.depth import replayed_depth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,3 +277,62 @@ def covered_per_seqid(spark, d):
 def regions_per_root(spark, d):
     pairs = overlapping(annotation(spark, d).spans.select("seqid", "fid", "s0", "e0"), regions(spark, d), "seqid")
     return pairs.select("rid", "fid").distinct().groupBy("fid").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- the same by way of text files, which are written to the shared folder and read back ------------------------------
+
+
+def _as_text(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}/{name}"
+    lines.write.option("lineSep", "\n").text(path)
+    return path
+
+
+def _bed(spark: SparkSession, d: str) -> str:
+    """Regions as BED: tabs or blanks between fields, more fields on some lines, comments among them."""
+    gap = F.when(F.col("rid") % 2 == 0, "\t").otherwise("  ")
+    line = F.concat("seqid", gap, F.col("qs").cast("string"), gap, F.col("qe").cast("string"), F.when(F.col("rid") % 3 == 0, F.concat(gap, F.lit("name"))).otherwise(""))
+    found = regions(spark, d).select(line.alias("value"))
+    return _as_text(spark, found.unionByName(spark.createDataFrame([("# comment",), ("",), ("chr1 5",), ("unheard\t1\t9",)], "value string")), "regions.bed")
+
+
+@query("bed_strict_regions", "SELECT seqid, qs, qe, count(*)::BIGINT AS n FROM reg WHERE seqid IN (SELECT seqid FROM roots) GROUP BY seqid, qs, qe")
+def bed_strict_regions(spark, d):
+    return bed_strict(spark, _bed(spark, d), annotation(spark, d).seqids).groupBy("seqid", "qs", "qe").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("depth_from_bed", "SELECT * FROM deep")
+def depth_from_bed(spark, d):
+    return c.depth(annotation(spark, d), read_regions(spark, _bed(spark, d)))
+
+
+@query("depth_from_sam", "SELECT * FROM deep")
+def depth_from_sam(spark, d):
+    """Events as alignments, errors as unmapped ones; spans are made of matches, gaps and clipped ends that don't count."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    length = 1 + F.floor("value")
+    first = F.floor(length / 2)
+    cigar = F.concat(F.lit("3S"), F.when(first > 0, F.concat(first.cast("string"), F.lit("M2I"))).otherwise(""), (length - first).cast("string"), F.lit("N4H"))
+    cells = ["event_id", F.when(F.col("event_type") == "error", "4").otherwise("16"), F.concat(F.lit("chr"), (F.col("user_id") % 5).cast("string")), (F.col("event_id") * 150 + 1).cast("string"), F.lit("0"), cigar, *map(F.lit, "*00**")]
+    lines = events.select(F.concat_ws("\t", *cells).alias("value")).unionByName(spark.createDataFrame([("@HD\tVN:1.6",)], "value string"))
+    return c.depth(annotation(spark, d), read_regions(spark, _as_text(spark, lines, "reads.sam")))
+
+
+@query("extract_from_list", _KEEP + " SELECT off FROM lines JOIN keep ON lines.root = keep.fid AND lines.id = keep.value")
+def extract_from_list(spark, d):
+    lines = _large_items(spark, d).select(F.concat(F.lit(" "), "value", F.lit("\t\r")).alias("value")).unionByName(spark.createDataFrame([("",), ("  ",)], "value string"))
+    return _offs(c.extract(annotation(spark, d), read_list(spark, _as_text(spark, lines, "ids.txt"))))
+
+
+@query("features_without_skipped_types", "SELECT off, id, parent, attr FROM placed WHERE type NOT IN ('CDS', 'exon')")
+def features_without_skipped_types(spark, d):
+    return feature_rows(annotation_lines(spark, d), skip_types="CDS,exon").select("off", "id", "parent", "attr")
+
+
+@query("coverage_cells", """SELECT id, chr, CAST("start" AS VARCHAR) AS "start", CAST("end" AS VARCHAR) AS "end", CAST(breadth AS VARCHAR) AS breadth,
+  printf('%.6f', CASE WHEN "end" > "start" THEN CAST(breadth AS DOUBLE) / ("end" - "start") ELSE 0.0 END) AS fraction FROM broad""")
+def coverage_cells(spark, d):
+    """The written table, cell by cell as text."""
+    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}/coverage.tsv"
+    save_table(c.coverage(annotation(spark, d), regions(spark, d)), path, "fraction")
+    return spark.read.option("sep", "\t").option("header", True).csv(path)

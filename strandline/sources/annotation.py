@@ -88,5 +88,6 @@ def write_table(df: DataFrame, path: str | None, fraction: str | None = None) ->
 
 
 def save_table(df: DataFrame, path: str, fraction: str | None = None) -> None:
-    cells: list[Column] = [F.format_string("%.6f", F.col(c)).alias(c) if c == fraction else F.col(c) for c in df.columns]
+    # ties go to the even digit, as write_table has it; the JVM's format alone rounds them up
+    cells: list[Column] = [F.format_string("%.6f", F.bround(F.col(c), 6)).alias(c) if c == fraction else F.col(c) for c in df.columns]
     df.select(*cells).orderBy("id").write.option("sep", "\t").option("header", True).csv(path)
