@@ -176,6 +176,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Pieces with their sequence and place in it: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    As of ``pack``: null or empty text is one piece of one token, rows that repeat are packed separately, ties in length go
+    by order of arrival, an empty table gives an empty result.
+    """
     found = pack(docs, tokenizer_path)
     sequence = F.col("group") * (1 << 20) + F.col("bin")
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")
