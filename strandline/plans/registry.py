@@ -149,6 +149,7 @@ def _match_sql(mode: str, types: str = "") -> str:
     return _entire_sql(mode, False) + types + f" AND EXISTS (SELECT 1 FROM reg WHERE reg.seqid = lines.seqid AND {_MEETS[mode]} AND reg.seqid IN (SELECT seqid FROM roots))"
 
 
+# overlap inverted is empty by definition, here as in the SQL: the roots asked are those that overlap a region
 for _mode in c.MODES:
     query(f"intersect_{_mode}_match", _match_sql(_mode))(lambda spark, d, m=_mode: _offs(c.intersect(annotation(spark, d), regions(spark, d), m)))
     query(f"intersect_{_mode}_entire", _entire_sql(_mode, False))(lambda spark, d, m=_mode: _offs(c.intersect(annotation(spark, d), regions(spark, d), m, entire=True)))
