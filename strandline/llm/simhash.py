@@ -215,8 +215,8 @@ def normal_words(text: bytes) -> list[bytes]:
 def frequent_cells(docs: DataFrame, words: int, above: int) -> np.ndarray:
     """Which cells of a sketch of all shingles of (doc_id, text) hold over four times the mean and ``above``, as booleans.
 
-    Each task counts in an array of fixed size; the arrays are added in two steps, so that no task gets many, and 4 MB
-    reach the driver whatever the corpus.
+    Each task counts in an array of fixed size; the arrays are added 64 at a time, so that no task gets many, and 8 MB at
+    most reach the driver whatever the corpus.
     """
     chunks = 1 << (SKETCH_BITS - CHUNK_BITS)
 
@@ -236,18 +236,20 @@ def frequent_cells(docs: DataFrame, words: int, above: int) -> np.ndarray:
         if cells.any():
             task = TaskContext.get().partitionId()
             rows = [cells[i << CHUNK_BITS : (i + 1) << CHUNK_BITS] for i in range(chunks)]
-            yield pa.RecordBatch.from_arrays([pa.array([task // 64] * chunks), pa.array(range(chunks)), pa.array([r.tobytes() for r in rows], type=pa.binary())], names=["part", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([task] * chunks, type=pa.int64()), pa.array(range(chunks), type=pa.int64()), pa.array([r.tobytes() for r in rows], type=pa.binary())], names=["part", "chunk", "counts"])
 
     def added(key: tuple, rows: pa.Table) -> pa.Table:
         wide = {4 << CHUNK_BITS: np.uint32, 8 << CHUNK_BITS: np.int64}  # of tasks and of sums
         total = sum((np.frombuffer(r, dtype=wide[len(r)]).astype(np.int64) for r in rows["counts"].to_pylist()), np.zeros(1 << CHUNK_BITS, dtype=np.int64))
-        return pa.table([pa.array([0]), rows["chunk"][:1], pa.array([total.tobytes()], type=pa.binary())], names=["part", "chunk", "counts"])
+        return pa.table([rows["part"][:1], rows["chunk"][:1], pa.array([total.tobytes()], type=pa.binary())], names=["part", "chunk", "counts"])
 
     schema = "part bigint, chunk bigint, counts binary"
-    once = docs.transform(small_batches).mapInArrow(count, schema).groupBy("part", "chunk").applyInArrow(added, schema)
+    sums, tasks = docs.transform(small_batches).mapInArrow(count, schema), docs.rdd.getNumPartitions()
+    while tasks > 0:
+        sums, tasks = sums.withColumn("part", F.floor(F.col("part") / 64)).groupBy("part", "chunk").applyInArrow(added, schema), tasks // 64
     cells = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in once.groupBy("chunk").applyInArrow(added, schema).collect():
-        cells[r.chunk << CHUNK_BITS : (r.chunk + 1) << CHUNK_BITS] = np.frombuffer(r.counts, dtype=np.int64)
+    for r in sums.collect():
+        cells[r.chunk << CHUNK_BITS : (r.chunk + 1) << CHUNK_BITS] += np.frombuffer(r.counts, dtype=np.int64)
     return cells > above + 4 * cells.mean()
 
 
