@@ -228,7 +228,7 @@ def frequent_cells(docs: DataFrame, words: int, above: int) -> np.ndarray:
             for text in got.column(1).cast(pa.binary()):
                 held.append(all_shingles(normal_words(text.as_py() or b""), words) >> np.uint64(64 - SKETCH_BITS))
                 waiting += len(held[-1])
-                if waiting > 1 << 20:  # counted by the million, so that few wait
+                if waiting > 1 << 19:  # counted bit by bit, so that few wait
                     cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(cells)).astype(np.uint32)
                     held, waiting = [], 0
         if held:

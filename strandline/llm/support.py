@@ -22,8 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """The same frame; its session hands Python batches of 16 MB at most, so that long texts don't pile up in a worker."""
-    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+    """The same frame; its session hands Python batches of 4 MB at most, so that long texts don't pile up in a worker."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
     conf = importable(df.sparkSession).conf
     if int(re.sub(r"\D", "", conf.get(key)) or 0) > most or not conf.get(key).rstrip("bB").isdigit():
         conf.set(key, str(most))
