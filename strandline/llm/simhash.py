@@ -369,8 +369,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     misses none. The order is that of the hashes, but shingles in cells of a sketch that hold far more than the mean (``above`` and four times it) come
     last: a passage that many texts share is indexed only where a text has little else. The order changes the cost only.
 
-    First each text is compared with one hub, the smallest node of most of its lists, which joins large groups of copies
-    without their pairs. Then all pairs of a list that aren't joined yet are tallied: sets that similar share so many
+    First each text is compared with one hub, the node of its lists that is in most lists of all, which joins large groups of
+    copies without their pairs. Then all pairs of a list that aren't joined yet are tallied: sets that similar share so many
     shingles of their prefixes at least that what lies behind can make up the rest. Those that reach this minimum are
     proven on their whole sets. A list of more than ``list_limit`` nodes is compared in blocks, each part of it with all
     that isn't in its largest group.
@@ -383,9 +383,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     each = cut(_posted(texts, words, similarity, frequent_cells(texts, words, above)))
     nodes = cut(each.groupBy("node").agg(F.min("rid").alias("least"), F.min_by("place", "rid").alias("place"), F.first("size").alias("size")))
     postings = each.select("node", F.explode("prefix").alias("key"))
-    lists = postings.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub")
+    lists = postings.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("key")
     tidy(docs.sparkSession)
-    held = cut(postings.join(lists, "key").groupBy("key", "node").agg(F.first("hub").alias("hub")))
+    held = cut(postings.join(lists, "key").select("key", "node").distinct())
+    # of a list's nodes the one that is in most lists: what copies were made from shares more than one of the copies does
+    ranked = held.join(held.groupBy("node").agg(F.count(F.lit(1)).alias("lists")), "node")
+    central = ranked.groupBy("key").agg(F.max(F.struct("lists", "node")).alias("best")).select("key", F.col("best.node").alias("hub"))
     size = nodes.select("node", "size")
     kept = lambda n: n - F.ceil(similarity * n - 1e-9) + 1
 
@@ -396,7 +399,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
     # each node with one hub
-    hubs = held.filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).join(size, "node").join(size.toDF("hub", "hub_size"), "hub")
+    hubs = held.join(central, "key").filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c")).join(size, "node").join(size.toDF("hub", "hub_size"), "hub")
     hubs = hubs.filter(near(F.col("size"), F.col("hub_size")) & enough(F.col("size"), F.col("hub_size"), F.col("c")))
     hubs = cut(hubs.groupBy("node").agg(F.max_by("hub", F.struct("c", "hub")).alias("b")).select(F.col("node").alias("a"), "b"))
     tidy(docs.sparkSession)
