@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.support import cut, small_batches, table, tidy
+from strandline.llm.support import MAP_BITS, cut, map_of, small_batches, table, tidy
 
 BYTES = 8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -184,8 +184,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the same at a Jaccard similarity: an inverted index on shingles instead of bytes ---------------------------------
 
 _UNIT, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)  # odd, otherwise arbitrary
-#: Cells of the sketch that finds frequent shingles, and bits of the map that tells which texts are to be proven.
-SKETCH_BITS, CHUNK_BITS, MAP_BITS = 20, 14, 26
+#: Cells of the sketch that finds frequent shingles.
+SKETCH_BITS, CHUNK_BITS = 20, 14
 
 
 def all_shingles(parts: list[bytes], words: int) -> np.ndarray:
@@ -311,21 +311,12 @@ def _rid() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2").alias("rid")
 
 
-def _map_of(rows: DataFrame) -> np.ndarray:
-    """A map of ``MAP_BITS`` bits, 8 MB, in which those of the rows' places are set; as many bytes at most reach the driver."""
-    place = F.col("place")
-    found = rows.groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place % 8 + 1)).alias("bits")).toArrow()
-    marks = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
-    marks[found["byte"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
-    return marks
-
-
 def _sets_of(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """node and shingles of the nodes of ``wanted`` (node, rid, place): the upper halves of their hashes, made again from the texts of the rows named.
 
     A map of fixed size tells a scan of (doc_id, text) which rows may be wanted, so that few others are hashed and exchanged.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(_map_of(wanted))
+    sent = docs.sparkSession.sparkContext.broadcast(map_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -441,7 +432,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = similar_documents(docs, id_col, text_col, **options).select("rid", "place", "first")
     found = found.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.first("place").alias("place"), F.first("first").alias("first"))
     doubtful = cut(found.filter((F.col("rid") != F.col("first")) | (F.col("n") > 1)).select("rid", "place", (F.col("rid") == F.col("first")).alias("stays")))
-    sent = docs.sparkSession.sparkContext.broadcast(_map_of(doubtful))
+    sent = docs.sparkSession.sparkContext.broadcast(map_of(doubtful))
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
     h1, h2, flag = (f"{'_' * 9}{x}{max(docs.columns, key=len)}" for x in ("h1", "h2", "flag"))
 

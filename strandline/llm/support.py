@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -18,6 +19,8 @@ __all__ = ["cut"]
 #: ASCII white space: the only characters that separate words here.
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Of the map that tells which rows of a table may be wanted.
+MAP_BITS = 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,6 +91,15 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def map_of(rows: DataFrame) -> np.ndarray:
+    """A map of ``MAP_BITS`` bits, 8 MB, in which those of the rows' places are set; as many bytes at most reach the driver."""
+    place = F.col("place")
+    found = rows.groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place % 8 + 1)).alias("bits")).toArrow()
+    marks = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
+    marks[found["byte"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
+    return marks
+
+
 def stored(df: DataFrame, name: str, before: str | None = None) -> tuple[DataFrame, str]:
     """The same rows from a Parquet table in the shared folder, and its path; the table ``before`` goes once they are written."""
     spark = df.sparkSession

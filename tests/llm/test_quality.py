@@ -198,3 +198,35 @@ def test_odd_rows(spark):
     assert not any(r.kept for r in got if r.n_words < 50) and sum(r.loss is None for r in got) == 6  # null, empty or white space only, or a language in which no document passes the base rules
     assert q.quality(docs.limit(0)).count() == 0 and q.keep_good(docs.limit(0)).count() == 0
     assert set(q.keep_good(docs).columns) == set(docs.columns)
+
+
+def singles(text):
+    """A text's share of letters that few others have: n-grams far down in a corpus's counts."""
+    r = random.Random(text)
+    return " ".join(w if r.random() < 0.9 else "".join(chr(0x4E00 + int(600 * r.random() ** 3)) for _ in w) for w in text.split(" "))
+
+
+def test_rare_ngrams_count(spark):
+    """However few n-grams are sent out, losses are those of the recursion over all."""
+    rows = [(i, singles(t), lang) for i, t, lang, kind in corpus() if kind == "clean" and lang == "en" and i < 60]
+    rows += [(900, "#" * 20 + " neverſeen %&; " * 3, "en"), (901, rows[0][1][:100] + " qqxzj", "en")]  # fail the base rules, and hold n-grams of no other text
+    docs = spark.createDataFrame([*rows, (902, None, "en"), (903, " ", None)], "doc_id long, text string, lang string")
+    grams, p = plain_kneser_ney([t for i, t, _ in rows if i < 900], 3, 1)
+    for most in (0, 40, 300, 1 << 20):
+        got = {x.doc_id: x for x in q.quality(docs, order=3, most_grams=most).collect()}
+        trained = q.train(docs, order=3, most_grams=most)
+        assert trained.whole == (most > 300) and sum(len(k) for m in trained.sent.values() for k in m.keys) <= (most if most <= 300 else 3 * most)
+        for i, t, _ in rows[:3] + rows[-2:]:
+            s = plain_symbols(t, 3)
+            want = [-math.log(p(tuple(s[j - 2 : j + 1]))) for j in range(2, len(s))]
+            assert abs(got[i].loss - sum(want) / len(want)) < 1e-4, (most, i)
+        assert got[902].loss is None and got[903].loss is None and len(got) == len(rows) + 2
+
+
+@pytest.mark.parametrize("most", [0, 60, 500])
+def test_what_is_sent_changes_nothing(spark, most):
+    rows = [(i if i % 7 else None, singles(t) if i % 5 == 0 else t, lang if i % 11 else None) for i, t, lang, _ in corpus()]
+    docs = spark.createDataFrame(rows + rows[:30], "doc_id long, text string, lang string").repartition(3)
+    plain = lambda rows: sorted(map(repr, rows))
+    whole, part = q.quality(docs).collect(), q.quality(docs, most_grams=most).collect()
+    assert plain(whole) == plain(part) and 0 < sum(x.kept for x in whole) < len(whole)
