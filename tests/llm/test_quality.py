@@ -230,3 +230,6 @@ def test_what_is_sent_changes_nothing(spark, most):
     plain = lambda rows: sorted(map(repr, rows))
     whole, part = q.quality(docs).collect(), q.quality(docs, most_grams=most).collect()
     assert plain(whole) == plain(part) and 0 < sum(x.kept for x in whole) < len(whole)
+    want = Counter((x.doc_id, x.n_words, x.word_chars) for x in whole if x.kept)
+    for kept in (q.keep_good(docs), q.keep_good(docs, most_grams=most)):
+        assert Counter((x.doc_id, len(WORD.findall(x.text)), sum(map(len, WORD.findall(x.text)))) for x in kept.collect()) == want
