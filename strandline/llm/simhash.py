@@ -184,8 +184,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the same at a Jaccard similarity: an inverted index on shingles instead of bytes ---------------------------------
 
 _UNIT, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)  # odd, otherwise arbitrary
-#: Cells of the sketch that finds frequent shingles.
-SKETCH_BITS, CHUNK_BITS = 20, 14
+#: Cells of the table of frequent shingles, how many it takes, and the part of the texts in which they are counted.
+CELL_BITS, MOST_FREQUENT, SAMPLE = 23, 1 << 20, 8
 
 
 def all_shingles(parts: list[bytes], words: int) -> np.ndarray:
@@ -212,52 +212,48 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()  # bytes split at ASCII white space only
 
 
-def frequent_cells(docs: DataFrame, words: int, above: int) -> np.ndarray:
-    """Which cells of a sketch of all shingles of (doc_id, text) hold over four times the mean and ``above``, as booleans.
+def frequent_shingles(docs: DataFrame, words: int, above: int) -> np.ndarray:
+    """How frequent the shingles of (doc_id, text) in each of 2^``CELL_BITS`` cells are: 0 for those in fewer than ``above`` texts or so, else more for each doubling.
 
-    Each task counts in an array of fixed size; the arrays are added 64 at a time, so that no task gets many, and 8 MB at
-    most reach the driver whatever the corpus.
+    Every eighth text, by its hash and so once however many copies it has, is counted exactly, which is enough to put
+    shingles into an order. Where more than ``MOST_FREQUENT`` are found the most frequent are taken, so what reaches the driver
+    and is sent out is bounded whatever the corpus; the number of texts that shares a shingle of cell 0 doesn't grow with it before that.
     """
-    chunks = 1 << (SKETCH_BITS - CHUNK_BITS)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-        cells, held, waiting = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), [], 0
         for got in batches:
-            for text in got.column(1).cast(pa.binary()):
-                held.append(all_shingles(normal_words(text.as_py() or b""), words) >> np.uint64(64 - SKETCH_BITS))
-                waiting += len(held[-1])
-                if waiting > 1 << 19:  # counted bit by bit, so that few wait
-                    cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(cells)).astype(np.uint32)
-                    held, waiting = [], 0
-        if held:
-            cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(cells)).astype(np.uint32)
-        if cells.any():
-            task = TaskContext.get().partitionId()
-            rows = [cells[i << CHUNK_BITS : (i + 1) << CHUNK_BITS] for i in range(chunks)]
-            yield pa.RecordBatch.from_arrays([pa.array([task] * chunks, type=pa.int64()), pa.array(range(chunks), type=pa.int64()), pa.array([r.tobytes() for r in rows], type=pa.binary())], names=["part", "chunk", "counts"])
-
-    def added(key: tuple, rows: pa.Table) -> pa.Table:
-        wide = {4 << CHUNK_BITS: np.uint32, 8 << CHUNK_BITS: np.int64}  # of tasks and of sums
-        total = sum((np.frombuffer(r, dtype=wide[len(r)]).astype(np.int64) for r in rows["counts"].to_pylist()), np.zeros(1 << CHUNK_BITS, dtype=np.int64))
-        return pa.table([rows["part"][:1], rows["chunk"][:1], pa.array([total.tobytes()], type=pa.binary())], names=["part", "chunk", "counts"])
-
-    schema = "part bigint, chunk bigint, counts binary"
-    sums, tasks = docs.transform(small_batches).mapInArrow(count, schema), docs.rdd.getNumPartitions()
-    while tasks > 0:
-        sums, tasks = sums.withColumn("part", F.floor(F.col("part") / 64)).groupBy("part", "chunk").applyInArrow(added, schema), tasks // 64
-    cells = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in sums.collect():
-        cells[r.chunk << CHUNK_BITS : (r.chunk + 1) << CHUNK_BITS] += np.frombuffer(r.counts, dtype=np.int64)
-    return cells > above + 4 * cells.mean()
+            names, sets = [], []
+            for text in got.column(0).cast(pa.binary()):
+                text = text.as_py() or b""
+                name = xxhash.xxh3_64_intdigest(text)
+                if name % SAMPLE == 0:
+                    names.append(name)
+                    sets.append(shingle_set(normal_words(text), words))
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, dtype=np.uint64).view(np.int64)), _lists(sets)], names=["name", "shingles"])
+
+    sample = docs.select("text").transform(small_batches).mapInArrow(run, "name bigint, shingles array<bigint>")
+    keys = sample.groupBy("name").agg(F.first("shingles").alias("shingles")).select(F.explode("shingles").alias("key"))
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2, above // SAMPLE))
+    often = cut(often.select(F.shiftrightunsigned("key", 64 - CELL_BITS).cast("int").alias("cell"), (F.floor(F.log2("n")) + 1).cast("int").alias("level")))
+    least, left = 64, MOST_FREQUENT
+    for r in sorted(often.groupBy("level").count().collect(), key=lambda r: -r.level):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.level
+    found = often.filter(F.col("level") >= least).groupBy("cell").agg(F.max("level").alias("level")).toArrow()
+    levels = np.zeros(1 << CELL_BITS, dtype=np.uint8)
+    levels[found["cell"].to_numpy()] = found["level"].to_numpy().astype(np.uint8)
+    return levels
 
 
 def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles in the order (is its cell ``frequent``, hash): sets of that Jaccard similarity share one of these at least."""
+    """The first shingles in the order (how ``frequent`` its cell is, hash): sets of that Jaccard similarity share one of these at least."""
     n = int(len(hashes) - np.ceil(similarity * len(hashes) - 1e-9) + 1) if len(hashes) else 0
-    last = frequent[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return np.concatenate([hashes[~last], hashes[last]])[:n]
+    return hashes[np.argsort(frequent[(hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")][:n]
 
 
 def _halves(text: bytes) -> tuple[int, int]:
@@ -280,12 +276,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def _posted(docs: DataFrame, words: int, similarity: float, frequent: np.ndarray) -> DataFrame:
     """rid, place (see ``_place``), node (hash of the words), size (of the shingle set) and prefix of each row of (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        cells = np.unpackbits(sent.value).astype(bool)
+        cells = sent.value
         for got in batches:
             nodes, sizes, prefixes, h1, h2, places = [], [], [], [], [], []
             for ident, text in zip(got.column(0).to_pylist(), got.column(1).cast(pa.binary())):
@@ -351,14 +347,15 @@ def _proven(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, sim
     return cut(both.filter(F.col("shared") >= similarity * (F.size("as") + F.size("bs") - F.col("shared")) - 1e-9).select("a", "b"))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, list_limit: int = 20_000, above: int = 256) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, list_limit: int = 20_000, above: int = 32) -> DataFrame:
     """One row per input row: ``rid`` (its identity), ``place`` (see ``_place``), doc_id, and ``first``: the identity that stays of its group.
 
     Groups are the components of the pairs whose sets of ``words``-word shingles have the given Jaccard similarity or
     more: all such pairs, and no others, up to collisions of hashes (64 bits where texts are sought, 32 in the proof of a pair). In any order of the shingles that all texts
     share, the first fifth (at 0.8) of two such sets has a shingle in common, so an inverted index on these prefixes
-    misses none. The order is that of the hashes, but shingles in cells of a sketch that hold far more than the mean (``above`` and four times it) come
-    last: a passage that many texts share is indexed only where a text has little else. The order changes the cost only.
+    misses none. The order is that of the hashes, but shingles that ``above`` texts or more share (see ``frequent_shingles``)
+    come last, the more of them the later: a passage that many texts share is indexed only where a text has little else, and other lists
+    don't grow with the corpus. The order changes the cost only.
 
     First each text is compared with one hub, the node of its lists that is in most lists of all, which joins large groups of
     copies without their pairs. Then all pairs of a list that aren't joined yet are tallied: sets that similar share so many
@@ -371,7 +368,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    each = cut(_posted(texts, words, similarity, frequent_cells(texts, words, above)))
+    each = cut(_posted(texts, words, similarity, frequent_shingles(texts, words, above)))
     nodes = cut(each.groupBy("node").agg(F.min("rid").alias("least"), F.min_by("place", "rid").alias("place"), F.first("size").alias("size")))
     postings = each.select("node", F.explode("prefix").alias("key"))
     lists = postings.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("key")

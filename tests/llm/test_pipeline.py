@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline as p
-from strandline.llm.simhash import keep_one_of_each, similar_documents
+from strandline.llm.simhash import _posted, frequent_shingles, keep_one_of_each, similar_documents
 from tests.llm.helpers import clashing, tricky
 
 
@@ -123,6 +123,24 @@ def test_texts_below_the_limit_stay(spark):
     assert got == groups_of(rows) and all(got[i] == i for i in got)
 
 
+def test_shared_passages_make_no_pairs(spark):
+    """Half of the texts hold the same passage, which is a third of each: five times the texts have five times the pairs or so, not 25 times."""
+    r = random.Random(14)
+    passage = prose(r, 60)
+
+    def pairs(n):
+        rows = [(i, f"{prose(r, 60)} {passage if i % 2 else prose(r, 60)} {prose(r, 60)}") for i in range(n)]
+        texts = spark.createDataFrame(rows, "doc_id long, text string")
+        each = [row.prefix for row in _posted(texts, 5, 0.8, frequent_shingles(texts, 5, 32)).collect()]
+        assert all(len(x) == 36 for x in each)  # 176 shingles, of which 141 have to be shared
+        return sum(k * (k - 1) // 2 for k in Counter(key for x in each for key in x).values())
+
+    assert pairs(500) <= 5 * max(pairs(100), 1000)
+    docs = spark.createDataFrame([(i, passage + " " + prose(r, 2) if i else passage) for i in range(60)], "doc_id long, text string")  # nothing but the passage is shared
+    got = {x.doc_id: x["first"].doc_id for x in similar_documents(docs).collect()}
+    assert set(got.values()) == {0} and len(got) == 60
+
+
 def test_odd_rows(spark):
     docs = clashing(tricky(spark), ["rid", "first", "node"])
     kept = keep_one_of_each(docs).collect()
