@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from strandline.llm.support import MAP_BITS, cut, map_of, small_batches, table, tidy
 
@@ -359,7 +360,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     First each text is compared with one hub, the node of its lists that is in most lists of all, which joins large groups of
     copies without their pairs. Then all pairs of a list that aren't joined yet are tallied: sets that similar share so many
-    shingles of their prefixes at least that what lies behind can make up the rest. Those that reach this minimum are
+    shingles of their prefixes at least that what lies behind can make up the rest, and at each shared shingle what lies
+    before it in lists and behind it has to suffice. Those that reach this minimum are
     proven on their whole sets. A list of more than ``list_limit`` nodes is compared in blocks, each part of it with all
     that isn't in its largest group.
 
@@ -370,10 +372,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     each = cut(_posted(texts, words, similarity, frequent_shingles(texts, words, above)))
     nodes = cut(each.groupBy("node").agg(F.min("rid").alias("least"), F.min_by("place", "rid").alias("place"), F.first("size").alias("size")))
-    postings = each.select("node", F.explode("prefix").alias("key"))
+    postings = each.select("node", F.posexplode("prefix").alias("at", "key"))
     lists = postings.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("key")
     tidy(docs.sparkSession)
-    held = cut(postings.join(lists, "key").select("key", "node").distinct())
+    held = cut(postings.join(lists, "key").select("key", "node", "at").distinct())
     # of a list's nodes the one that is in most lists: what copies were made from shares more than one of the copies does
     ranked = held.join(held.groupBy("node").agg(F.count(F.lit(1)).alias("lists")), "node")
     central = ranked.groupBy("key").agg(F.max(F.struct("lists", "node")).alias("best")).select("key", F.col("best.node").alias("hub"))
@@ -397,14 +399,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # then all pairs of a list that are in different groups: at least one of a pair isn't in the list's largest
     rooted = nodes.select("node", "size").join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"))
-    rooted = cut(held.select("key", "node").join(rooted, "node"))
+    listed = F.row_number().over(W.partitionBy("node").orderBy("at")) - 1
+    rooted = cut(held.select("key", "node", "at", listed.alias("listed")).join(rooted, "node"))
     groups = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
     groups = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).filter("roots > 1")
     parts = F.ceil(F.col("n") / list_limit)
     members = cut(rooted.join(groups, "key").withColumn("other", F.col("root") != F.col("largest")))
-    left = members.filter("other").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-    right = members.select("key", F.pmod(F.xxhash64("node"), parts).alias("part"), F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"), "other")
-    met = left.join(right, ["key", "part"]).filter((F.col("a_root") != F.col("b_root")) & (~F.col("other") | (F.col("a") < F.col("b"))) & near(F.col("a_size"), F.col("b_size")))
+    left = members.filter("other").select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"), F.col("at").alias("a_at"), F.col("listed").alias("a_listed"))
+    right = members.select("key", F.pmod(F.xxhash64("node"), parts).alias("part"), F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"), F.col("at").alias("b_at"), F.col("listed").alias("b_listed"), "other")
+    # what both have before a shared shingle is in lists, too, and no more can follow it than the shorter rest
+    most = F.least("a_listed", "b_listed") + 1 + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) - 1
+    possible = most >= F.ceil(similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - 1e-9)
+    met = left.join(right, ["key", "part"]).filter((F.col("a_root") != F.col("b_root")) & (~F.col("other") | (F.col("a") < F.col("b"))) & near(F.col("a_size"), F.col("b_size")) & possible)
     # which of the two is in the largest group differs by list
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_size", "b_size").alias("n"), F.greatest("a_size", "b_size").alias("m")]
     counted = met.select(*pair).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c")).filter(enough(F.col("n"), F.col("m"), F.col("c")))
