@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Widths of bins are powers of two; a span belongs to the narrowest that is as long as it, so it touches two bins at most.
+#: Widths of bins are powers of two; a span belongs to the narrowest of which four are as long as it, so it touches five bins at most.
+#: Spans of nearly the same length are of one level by this, mostly, and are sent once.
 LEVELS = (9, 12, 15, 18, 21, 24, 27, 30, 33)
 
 
@@ -16,7 +17,7 @@ def level_of(low: Column, high: Column) -> Column:
     """The level of the closed span low..high."""
     out = F.lit(LEVELS[-1])
     for level in reversed(LEVELS[:-1]):
-        out = F.when(high - low < (1 << level), level).otherwise(out)
+        out = F.when(high - low < (4 << level), level).otherwise(out)
     return out
 
 
@@ -39,10 +40,13 @@ def _binned(df: DataFrame, levels: Column) -> DataFrame:
     return df.withColumn("_bin", F.explode(F.sequence(shift("_low"), shift("_high"))))
 
 
-def _sides(left: DataFrame, right: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """Two pairs of binned tables. Each pair of spans meets at the wider one's level: first those where the left is as wide or wider, then the others."""
+def _sides(left: DataFrame, right: DataFrame, among: DataFrame | None = None) -> list[tuple[DataFrame, DataFrame]]:
+    """Two pairs of binned tables. Each pair of spans meets at the wider one's level: first those where the left is as wide or wider, then the others.
+
+    The levels of the left are looked for in ``among``, if given: a table with its bounds among others that is cheaper to read.
+    """
     own = F.array(level_of(F.col("_low"), F.col("_high")))
-    lefts, rights = levels_in(left, right)
+    lefts, rights = levels_in(left if among is None else among, right)
     above = lambda levels, strictly: F.filter(F.array(*map(F.lit, levels)), lambda x: (x > own[0]) if strictly else (x >= own[0]))
     out = []
     if lefts and rights:
@@ -64,7 +68,7 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, start: str = "s0",
     """Pairs of rows with equal ``key`` where start < q_end and end > q_start, each once, with the columns of both sides.
 
     An equi join on key, level and bin. A pair is counted in the bin where the later of the two begins. As a span is
-    widened to two bins at most, long spans aren't exploded, and a key that a third of the rows have is still spread
+    widened to five bins at most, long spans aren't exploded, and a key that a third of the rows have is still spread
     by its bins. A right side of a few rows is broadcast instead. Other columns of the two sides have to differ in name.
     """
     if _few(right):
@@ -84,18 +88,20 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, start: str = "s0",
     return out
 
 
-def touching(left: DataFrame, right: DataFrame, key: str, test: Column, row: str, start: str = "s1", end: str = "e1", q_start: str = "qs", q_end: str = "qe") -> DataFrame:
+def touching(left: DataFrame, right: DataFrame, key: str, test: Column, row: str, start: str = "s1", end: str = "e1", q_start: str = "qs", q_end: str = "qe", among: DataFrame | None = None) -> DataFrame:
     """Rows of ``left`` for which some row of ``right`` with the same key passes ``test``: a semi join, each row once by ``row``.
 
     ``test`` may only pass where the closed hulls of the spans meet; bounds are closed here and may be reversed.
+    ``among`` may be a table that has all bounds of ``left``, others too, and is cheaper to read.
     """
     if _few(right):
         few = right.select(F.col(key).alias("_key"), q_start, q_end)
         return left.join(F.broadcast(few), (F.col(key) == F.col("_key")) & test, "left_semi")
     hull = lambda df, a, b: df.withColumn("_low", F.least(a, b)).withColumn("_high", F.greatest(a, b))
     left, right = hull(left, start, end), hull(right, q_start, q_end)
+    among = None if among is None else hull(among, start, end)
     names, out = [c for c in left.columns if c not in ("_low", "_high")], None
-    for a, b in _sides(left, right):
+    for a, b in _sides(left, right, among):
         b = b.select(F.col(key).alias("_key"), F.col("_level").alias("_qlevel"), F.col("_bin").alias("_qbin"), q_start, q_end)
         part = a.join(b, (F.col(key) == F.col("_key")) & (F.col("_level") == F.col("_qlevel")) & (F.col("_bin") == F.col("_qbin")) & test, "left_semi").select(*names)
         out = part if out is None else out.unionByName(part)

@@ -67,8 +67,9 @@ def intersect(found: Annotation, regions: DataFrame, mode: str = "overlap", inve
     lines = whole_blocks(found, roots)
     if not entire or types is not None:
         known = regions.join(found.seqids, "seqid", "left_semi").select("seqid", "qs", "qe").distinct()
-        lines = _of_types(lines.filter("data AND s1 IS NOT NULL AND e1 IS NOT NULL"), types)
-        lines = touching(lines.select("off", "line", "eol", "seqid", "s1", "e1"), known, "seqid", _mode(mode, "s1", "e1", closed=True), "off")
+        bounded = lambda df: _of_types(df.filter("data AND s1 IS NOT NULL AND e1 IS NOT NULL"), types)
+        lines = bounded(lines).select("off", "line", "eol", "seqid", "s1", "e1")
+        lines = touching(lines, known, "seqid", _mode(mode, "s1", "e1", closed=True), "off", among=bounded(found.block_lines))
     return lines.select("off", "line", "eol")
 
 
@@ -142,9 +143,15 @@ def search(found: Annotation, values: list[str] | None = None, patterns: list[st
     return _selected(found, keep, found.attribute, entire, types)
 
 
+#: A root with more regions than this has its lines joined by bins, so that large blocks aren't compared row by row. Lines of
+#: the others meet their root's regions by its number alone, and all that is grouped by root next stays where it is.
+MANY = 64
+
+
 def _pairs(found: Annotation, regions: DataFrame) -> DataFrame:
-    """(rid, fid, qs, qe): each region once with each root it overlaps. A region may have several spans of a root."""
-    return cut(hits(found, regions.filter("qs < qe")).select("rid", "fid", "qs", "qe").distinct())
+    """(rid, fid, qs, qe, n): each region once with each root it overlaps, and how many the root has. A region may have several spans of a root."""
+    pairs = hits(found, regions.filter("qs < qe")).select("rid", "fid", "qs", "qe").repartition("fid").distinct()
+    return cut(pairs.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("fid"))))
 
 
 def _block_features(found: Annotation) -> DataFrame:
@@ -153,7 +160,8 @@ def _block_features(found: Annotation) -> DataFrame:
     A block with a line that isn't UTF-8, a comment for instance, has none.
     """
     unread = found.block_lines.filter("bad").select("fid").distinct()
-    rows = found.block_lines.join(unread, "fid", "left_anti").filter("data AND id IS NOT NULL AND s1 IS NOT NULL AND e1 IS NOT NULL AND e1 <> 0")
+    rows = found.block_lines if unread.isEmpty() else found.block_lines.join(unread, "fid", "left_anti")
+    rows = rows.filter("data AND id IS NOT NULL AND s1 IS NOT NULL AND e1 IS NOT NULL AND e1 <> 0")
     return rows.select("fid", "id", "off", "seqid", F.greatest(F.least("s1", "e1") - 1, F.lit(0)).alias("s0"), F.greatest("s1", "e1").alias("e0"))
 
 
@@ -163,16 +171,29 @@ def merged_roots(partial: DataFrame, measure: str) -> DataFrame:
     return out.select("id", "chr", "first", "start", "end", F.col(measure).cast("long").alias(measure))
 
 
-def depth_by_root(found: Annotation, regions: DataFrame) -> DataFrame:
-    """fid, id, chr, first, start, end, depth: distinct regions that hit any line with the id, bounds of the lines hit."""
-    rows = _block_features(found)
-    pairs = _pairs(found, regions)
+def _depth_by_bins(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     met = overlapping(rows, pairs, "fid")
     # one row per region first, so that counting needs no further distinct
     each = met.groupBy("fid", "id", "rid").agg(F.min("s0").alias("s"), F.max("e0").alias("e"))
     hit = each.groupBy("fid", "id").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.count(F.lit(1)).alias("depth"))
-    names = rows.groupBy("fid", "id").agg(F.min_by("seqid", "off").alias("chr"), F.min("off").alias("first"))
-    return hit.join(names, ["fid", "id"])
+    names = rows.join(pairs.select("fid").distinct(), "fid", "left_semi").groupBy("fid", "id").agg(F.min_by("seqid", "off").alias("chr"), F.min("off").alias("first"))
+    return hit.join(names, ["fid", "id"]).select("fid", "id", "start", "end", "depth", "chr", "first")
+
+
+def _depth_within_roots(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each line with all regions of its root, of which some hit it: a line's place counts even if none does."""
+    met = rows.join(pairs, "fid").withColumn("hit", (F.col("s0") < F.col("qe")) & (F.col("e0") > F.col("qs")))
+    of_hits = lambda c: F.when(F.col("hit"), F.col(c))
+    each = met.groupBy("fid", "id", "rid").agg(F.min(of_hits("s0")).alias("s"), F.max(of_hits("e0")).alias("e"), F.min_by("seqid", "off").alias("chr"), F.min("off").alias("first"))
+    hit = each.groupBy("fid", "id").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.count("s").alias("depth"), F.first("chr").alias("chr"), F.first("first").alias("first"))
+    return hit.filter("depth > 0")
+
+
+def depth_by_root(found: Annotation, regions: DataFrame) -> DataFrame:
+    """fid, id, chr, first, start, end, depth: distinct regions that hit any line with the id, bounds of the lines hit."""
+    rows, pairs = _block_features(found), _pairs(found, regions)
+    out, many = _depth_within_roots(rows, pairs.filter(F.col("n") <= MANY).drop("n")), pairs.filter(F.col("n") > MANY).drop("n")
+    return out if many.isEmpty() else out.unionByName(_depth_by_bins(rows, many))
 
 
 def depth(found: Annotation, regions: DataFrame) -> DataFrame:
@@ -180,17 +201,36 @@ def depth(found: Annotation, regions: DataFrame) -> DataFrame:
     return merged_roots(depth_by_root(found, regions), "depth").drop("first")
 
 
+def _coverage_by_bins(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    rows = rows.join(pairs.select("fid").distinct(), "fid", "left_semi")
+    spans = rows.groupBy("fid", "id").agg(F.min("s0").alias("start"), F.max("e0").alias("end"), F.min_by("seqid", "off").alias("chr"), F.min("off").alias("first"))
+    pieces = overlapping(rows, pairs, "fid").select("fid", "id", F.greatest("s0", "qs").alias("a"), F.least("e0", "qe").alias("b"))
+    lengths = union_length(pieces, ["fid", "id"], out="breadth")
+    return spans.join(lengths, ["fid", "id"], "left").withColumn("breadth", F.coalesce("breadth", F.lit(0)))
+
+
+def _coverage_within_roots(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each line with all regions of its root: a piece where they overlap, and the line's bounds in any case.
+
+    Each piece adds what lies beyond all that began before it.
+    """
+    a, b = F.greatest("s0", "qs"), F.least("e0", "qe")
+    met = rows.join(pairs, "fid").select("fid", "id", "off", "seqid", "s0", "e0", F.when(a < b, a).alias("a"), F.when(a < b, b).alias("b"))
+    before = F.max("b").over(W.partitionBy("fid", "id").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1))
+    added = F.greatest(F.col("b") - F.greatest(F.col("a"), F.coalesce(before, F.col("a"))), F.lit(0))
+    out = met.withColumn("added", F.when(F.col("a").isNotNull(), added)).groupBy("fid", "id")
+    return out.agg(F.min("s0").alias("start"), F.max("e0").alias("end"), F.min_by("seqid", "off").alias("chr"), F.min("off").alias("first"), F.coalesce(F.sum("added"), F.lit(0)).alias("breadth"))
+
+
 def coverage(found: Annotation, regions: DataFrame) -> DataFrame:
     """How many bases of each feature regions cover: id, chr, start, end, breadth, fraction.
 
     Every id in a block that a region touches is listed, with the bounds of all its lines there.
     """
-    pairs = _pairs(found, regions)
-    rows = _block_features(found).join(pairs.select("fid").distinct(), "fid", "left_semi")
-    spans = rows.groupBy("fid", "id").agg(F.min("s0").alias("start"), F.max("e0").alias("end"), F.min_by("seqid", "off").alias("chr"), F.min("off").alias("first"))
-    pieces = overlapping(rows, pairs, "fid").select("fid", "id", F.greatest("s0", "qs").alias("a"), F.least("e0", "qe").alias("b"))
-    lengths = union_length(pieces, ["fid", "id"], out="breadth")
-    per_root = spans.join(lengths, ["fid", "id"], "left").withColumn("breadth", F.coalesce("breadth", F.lit(0)))
+    rows, pairs = _block_features(found), _pairs(found, regions)
+    per_root, many = _coverage_within_roots(rows, pairs.filter(F.col("n") <= MANY).drop("n")), pairs.filter(F.col("n") > MANY).drop("n")
+    if not many.isEmpty():
+        per_root = per_root.unionByName(_coverage_by_bins(rows, many))
     out = merged_roots(per_root, "breadth").drop("first")
     return out.withColumn("fraction", F.when(F.col("end") > F.col("start"), F.col("breadth") / (F.col("end") - F.col("start"))).otherwise(F.lit(0.0)))
 
